@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metering", "context", "behaviour"]
+MODULES = ["metering", "context", "behaviour", "compaction"]
 
 
 def load_all() -> None:
