@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = saved(small.distinct(), "edges")
         # a forest of stars: every node has one parent, and no parent has one
         parents = now.groupBy("u").agg(F.count("*").alias("n"))
-        if parents.where("n > 1").isEmpty() and now.join(parents, now.v == parents.u, "left_semi").isEmpty():
+        if parents.where("n > 1").isEmpty() and now.select("v").join(parents.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 

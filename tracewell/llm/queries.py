@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, line_dedup, mixing
+from tracewell.llm import chat, line_dedup, mixing, ngram_join
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,8 @@ FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
