@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import chat, line_dedup, mixing, ngram_join
+from tracewell.llm import bpe, chat, line_dedup, mixing, ngram_join
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_bpe_distinct_words")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
