@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, line_dedup, mixing, ngram_join
+from tracewell.llm import bpe, chat, line_dedup, mixing, ngram_join, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_toxicity_noisy_or")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
