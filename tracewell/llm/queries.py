@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, line_dedup, mixing, ngram_join, toxicity
+from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, ngram_join, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels", "doc_id", "toxic").where(~toxicity.held_out(F.col("doc_id")))
     scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
+@query("op7_html_host_consensus")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract_main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
