@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, ngram_join, toxicity
+from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multiprobe, ngram_join, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_host_consensus")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.extract_main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
+
+@query("op2_multiprobe_nearest", NEAREST_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return multiprobe.nearest(vectors, vectors.where("vec_id % 100 = 0"))
