@@ -61,7 +61,9 @@ def in_blocks(rows: DataFrame, probes: DataFrame, keys: list[str], row_id: str,
     grid = saved(need.join(have, keys), "grid")
     rows = rows.join(grid, keys).withColumn("rb", F.pmod(F.xxhash64(row_id), F.col("rbs")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("pbs") - 1)))
     probes = probes.join(grid, keys).withColumn("pb", F.pmod(F.xxhash64(probe_id), F.col("pbs")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)))
-    return rows.drop("rbs", "pbs"), probes.drop("rbs", "pbs")
+    # new names for columns, as both sides may come from one table
+    fresh = lambda df: df.drop("rbs", "pbs").select(*[F.col(c).alias(c) for c in df.columns if c not in ("rbs", "pbs")])
+    return fresh(rows), fresh(probes)
 
 
 def first_k(df: DataFrame, key: str, order: list[Column], k: int, rank: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multiprobe, ngram_join, toxicity
+from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,8 @@ FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return multiprobe.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op10_multi_index_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_copies(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
