@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, toxicity
+from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, pseudo_likelihood, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_multi_index_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_copies(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op9_masked_pseudo_likelihood")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
