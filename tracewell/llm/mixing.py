@@ -37,7 +37,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     t = t.withColumn("total", F.sum("size").over(every) * F.lit(float(share))).withColumn("all_weight", F.sum("weight").over(every))
     left = F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))
     t = t.withColumn("level", left / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every)
+    # the level at the first source that it does not fill; further down it falls, as sources count as filled that are not
+    level = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every)
     t = t.withColumn("target", F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most"))))
     return t.select("source", "nth", F.col("size").alias("source_size"), "weight", "target")
 

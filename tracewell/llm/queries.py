@@ -66,7 +66,7 @@ WITH d AS (
   SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM w) - coalesce(sum(most) OVER p, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER p, 0)) AS level
   FROM w WINDOW p AS (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), g AS (
-  SELECT *, least(most, coalesce((SELECT min(level) FROM l WHERE ratio > level) * weight, most)) AS target FROM l
+  SELECT *, least(most, coalesce((SELECT max(level) FROM l WHERE ratio > level) * weight, most)) AS target FROM l
 ), o AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
     CAST(sum(d.size) OVER (PARTITION BY g.nth ORDER BY d.key, d.doc_id) AS BIGINT) - d.size AS o
