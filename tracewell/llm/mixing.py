@@ -110,7 +110,7 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 def _permuted(i: Column, n: Column, seed: Column) -> Column:
     """A permutation of 0 .. n - 1 (n below 2**31): a seeded shift and a multiplication by a prime that does not divide n."""
     fit = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: p % n != 0)
-    return (F.pmod(i + F.pmod(seed, n), n) * (F.element_at(fit, 1) % n)) % n
+    return F.when(n > 1, (F.pmod(i + F.pmod(seed, n), n) * (F.element_at(fit, 1) % n)) % n).otherwise(F.lit(0).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, share: float = 1.0, block_words: int = 2048, levels: int = 5, seed: int = 17) -> tuple[DataFrame, DataFrame]:
