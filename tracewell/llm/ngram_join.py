@@ -8,9 +8,11 @@
 3. In each n-gram's list every set is compared with a leader only (the smallest set, then the next one whose
    size the leader cannot reach).  A list whose members are all linked with one leader lies within one
    component and is done.  So a group of copies costs its size, not its square.
-4. The other lists stay open.  There, all pairs of sets that are not yet in one component are joined under
-   the length, prefix and positional filters and the triangle inequality of the Jaccard distance by way of
-   the leader, and each distinct pair is verified once.
+4. A list of three or more sets of which not all are linked with the leader stays open.  In ``ROUNDS`` rounds
+   its sets outside the list's main component are compared with one more set of that component.
+5. Then all pairs of an open list's sets that are still in different components are joined under the length,
+   prefix and positional filters and the triangle inequality of the Jaccard distance by way of the leader,
+   and each distinct pair is verified once.
 
 Verification first applies the suffix filter (a bound from splitting both sorted sets at common pivots),
 then intersects the whole sets.  N-grams are 64-bit hashes; sets are told apart by a 64-bit signature.
@@ -33,8 +35,8 @@ from tracewell.llm.common import components, saved
 SKETCH, ROW = 1 << 20, 1 << 14
 #: Documents in a slot of the sketch from which an n-gram's list is cut in parts of about as many.
 HOT_LIST = 1 << 16
-#: Partners of one leader to a verifying task's group.
-GROUP = 256
+#: Partners of one leader to a verifying task's group, and further leaders of open lists.
+GROUP, ROUNDS = 256, 2
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -140,12 +142,12 @@ def _prefixes(docs: DataFrame, counts, n: int, num: int, den: int, hot: int) ->
 
 
 def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Lists of two sets or more, each row with its leader; ``more`` marks the rows of later leaders.
+    """Lists of two sets or more, each row with its leader; ``more`` marks the rows of later leaders, ``three`` lists of three sets or more.
 
     Rows come sorted by gram, part and size and are streamed.  The one list that goes on in the next batch
     is held; parts keep a list at about ``HOT_LIST`` sets.  A part of a hot gram is kept even if it has one set.
     """
-    names = ["gram", "part", "sig", "size", "pos", "leader", "leader_size", "more"]
+    names = ["gram", "part", "sig", "size", "pos", "leader", "more", "three"]
 
     def led(cols: list[np.ndarray]) -> pa.RecordBatch | None:
         gram, part, sig, size, pos = cols
@@ -162,7 +164,8 @@ def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
                     reach = i
                 at[i] = reach
             later[starts[k] : ends[k]] = at[starts[k] : ends[k]] != starts[k]
-        cols = [c[keep] for c in (gram, part, sig, size, pos, sig[at], size[at], later)]
+        three = np.repeat((ends - starts > 2) | (part[starts] >= 0), ends - starts)
+        cols = [c[keep] for c in (gram, part, sig, size, pos, sig[at], later, three)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names) if keep.any() else None
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +188,7 @@ def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
         if held and (out := led(held)):
             yield out
 
-    schema = "gram bigint, part int, sig bigint, size int, pos int, leader bigint, leader_size int, more boolean"
+    schema = "gram bigint, part int, sig bigint, size int, pos int, leader bigint, more boolean, three boolean"
     return prefixes.repartition("gram", "part").sortWithinPartitions("gram", "part", "size", "sig").mapInArrow(lead, schema)
 
 
@@ -198,7 +201,14 @@ def _suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     return _suffix_bound(x[:i], y[:j], depth - 1) + _suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _member_texts(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
+    """(sig, text) of the sets in ``lists``, so that the documents are joined once."""
+    wanted = saved(lists.select("sig").distinct().join(reps, "sig"), "members")
+    own = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text")
+    return saved(own.join(wanted, "rep").select("sig", "text"), "texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``pairs`` (leader, sig) with the sizes of both sets, their overlap (or a bound on it) and ``linked``.
 
     The texts of the partners go to their leader, in groups of about ``GROUP`` partners; the leader's text
@@ -207,9 +217,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: i
     groups = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     salted = pairs.join(groups, "leader").withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("groups")).cast("int"))
     wanted = salted.select("leader", "salt", F.lit(1).alias("role"), "sig").union(groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0), "leader"))
-    wanted = saved(wanted.join(reps, "sig").select("leader", "salt", "role", "sig", "rep"), "wanted")
-    own = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text")
-    given = own.join(wanted, "rep").select("leader", "salt", "role", "sig", "text")
+    given = texts.join(wanted, "sig").select("leader", "salt", "role", "sig", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, key, first = _WordHashes(), None, None
@@ -256,17 +264,24 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, h
     lists = saved(_lists(_prefixes(docs, counts, n, num, den, hot), num, den), "lists")
     leaders = lists.where("part >= 0 and sig = leader").select("gram", F.lit(-1).alias("part"), "sig", "size", "pos")
     lists = lists.union(saved(_lists(leaders, num, den), "leaders"))
-    stars = _verified(docs, reps, lists.where("sig <> leader").select("leader", "sig").distinct(), n, num, den)
+    texts = _member_texts(docs, reps, lists)
+    stars = _verified(texts, saved(lists.where("sig <> leader").select("leader", "sig").distinct(), "stars"), n, num, den)
     links = stars.where("linked").select(F.col("leader").alias("a"), F.col("sig").alias("b"))
-    member = components(links)
+    member = saved(components(links), "member")
 
-    apart = stars.where("not linked").select("leader", "sig")
-    open_grams = lists.where("more").select("gram").union(lists.join(apart, ["leader", "sig"], "left_semi").select("gram")).distinct()
-    rows = lists.join(saved(open_grams, "open"), "gram", "left_semi")
-    rows = rows.join(member.withColumnsRenamed({"node": "sig"}), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
-    rows = rows.join(stars.select("leader", "sig", _distance().alias("far")), ["leader", "sig"], "left").withColumn("far", F.when(F.col("leader") == F.col("sig"), 0.0).otherwise(F.col("far")))
+    state = lists.where("three").join(stars.select("leader", "sig", "linked", _distance().alias("far")), ["leader", "sig"], "left")
+    state = saved(state.select("gram", "sig", "size", "pos", "leader", F.when(F.col("leader") == F.col("sig"), 0.0).otherwise(F.col("far")).alias("far"), (F.col("more") | ~F.coalesce("linked", F.lit(True))).alias("open")), "state")
+    rows = state.join(state.where("open").select("gram").distinct(), "gram", "left_semi")
+    rows = rows.join(member.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
     rows = saved(rows.select("gram", "sig", "size", "pos", "comp", "leader", "far").distinct(), "rows")
-    main = rows.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", "count").alias("main"))
+    for k in range(ROUNDS):
+        main = rows.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.min_by(F.struct("sig", "size"), F.xxhash64(F.lit(k), "sig")).alias("by")).groupBy("gram").agg(F.max_by(F.struct("comp", "by"), F.struct("n", "comp")).alias("main"))
+        odd = rows.join(main, "gram").where("comp <> main.comp").select(F.col("main.by.sig").alias("leader"), "sig", F.least("size", "main.by.size").alias("least"), F.greatest("size", "main.by.size").alias("most"))
+        new = _verified(texts, saved(odd.where(den * F.col("least").cast("long") >= num * F.col("most")).select("leader", "sig").distinct(), "round"), n, num, den)
+        member = saved(components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new.where("linked").select("leader", "sig"))), "member")
+        now = rows.drop("comp").join(member.withColumnRenamed("node", "sig"), "sig", "left")
+        rows = saved(now.select("gram", "sig", "size", "pos", F.coalesce("component", "sig").alias("comp"), "leader", "far"), "rows")
+    main = rows.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     odd = rows.join(main, "gram").where("comp <> main")
     a, b = odd.alias("a"), rows.alias("b")
     larger, smaller = F.greatest("a.size", "b.size").cast("long"), F.least("a.size", "b.size").cast("long")
@@ -281,8 +296,8 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, h
         & (den * smaller >= num * larger) & (index_pos < index_size) & ((num + den) * most >= num * both) & near
     )
     pairs = pairs.select(F.least("a.sig", "b.sig").alias("leader"), F.greatest("a.sig", "b.sig").alias("sig")).distinct()
-    more = _verified(docs, reps, saved(pairs, "pairs"), n, num, den).where("linked")
-    member = components(links.union(more.select("leader", "sig")))
+    more = _verified(texts, saved(pairs, "pairs"), n, num, den).where("linked")
+    member = components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("leader", "sig")))
 
     groups = reps.join(member.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
     least = groups.groupBy("comp").agg(F.min("rep").alias("least"))
