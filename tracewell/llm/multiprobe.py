@@ -69,6 +69,8 @@ def probe_order(place: np.ndarray, probes: int) -> list[np.ndarray]:
 
 def fit(sample: np.ndarray, k: int, tables: int, top: int, recall: float, seed: int) -> tuple[float, int]:
     """(w, probes): slots as wide as the projected distance to the ``top``-th neighbour, and probes that reach ``recall``."""
+    if len(sample) < 2:
+        return 1.0, 1
     queries = sample[:SAMPLE_QUERIES]
     far = ((sample**2).sum(1)[None] + (queries**2).sum(1)[:, None] - 2 * queries @ sample.T).clip(0)
     far[np.arange(len(queries)), np.arange(len(queries))] = np.inf
