@@ -99,7 +99,7 @@ def repeat_calls(events: DataFrame, window_minutes: float = R.REREAD_WINDOW_MINU
 
 def large_reads(reads: DataFrame, max_bytes: int = R.LARGE_READ_BYTES) -> DataFrame:
     """Un-ranged reads above the limit and the tokens a ranged read would have saved."""
-    cost = F.ceil(F.least(F.col("size"), F.lit(2_000_000)) / R.CHARS_PER_TOKEN_PROSE).cast("bigint")
+    cost = F.ceil(F.col("size") / R.CHARS_PER_TOKEN_PROSE).cast("bigint")
     big = reads.filter(~F.col("ranged") & (F.col("size") > max_bytes))
     return big.withColumn("tokens", F.greatest(F.lit(0), cost - 600).cast("bigint"))
 
@@ -422,9 +422,8 @@ def patch_files(patch: Column) -> Column:
 
 def alert_level(value: Column, first: int) -> Column:
     """1 at the first limit, one more for each doubling, null below."""
-    levels = F.array(*[F.lit(first * 2**i) for i in range(24)])
-    n = F.size(F.filter(levels, lambda x: x <= value))
-    return F.when(n > 0, n.cast("bigint"))
+    # binary digits of the quotient count its doublings exactly, however large it is
+    return F.when(value >= first, F.length(F.bin(F.floor(value / first))).cast("bigint"))
 
 
 def alert_levels(events: DataFrame, first: int) -> DataFrame:

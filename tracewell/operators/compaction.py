@@ -502,14 +502,15 @@ def grep_lines(df: DataFrame, key: str, pattern: str, text: str = "text", cap: i
     hit = lambda s: s.rlike("(?i)" + pattern)
     numbered = F.transform(F.split(text, "\n"), lambda s, i: F.struct((i + 1).cast("bigint").alias("line_no"), s.alias("line")))
     found = F.filter(numbered, lambda x: hit(x["line"]))
-    matched = df.filter(hit(F.col(text))).select(key, found.alias("found"))
+    # (?m): an anchor in the pattern holds for lines here too
+    matched = df.filter(F.col(text).rlike("(?im)" + pattern)).select(key, found.alias("found"))
     total = matched.agg(F.sum(F.size("found"))).scalar()
     rows = matched.select(key, F.inline("found")).orderBy(key, "line_no").limit(cap)
     return rows.withColumn("more", F.greatest(F.lit(0), total - cap).cast("bigint"))
 
 
-def read_lines(df: DataFrame, key: str, start: int, end: int, text: str = "text", cap: int = 800) -> DataFrame:
-    """Lines start..end (1-based, inclusive) of every text, at most ``cap``."""
-    n = min(end - start + 1, cap)
+def read_lines(df: DataFrame, key: str, start: int, end: int, text: str = "text", cap: int | None = None) -> DataFrame:
+    """Lines start..end (1-based, inclusive) of every text, of each at most ``cap`` if one is given."""
+    n = end - start + 1 if cap is None else min(end - start + 1, cap)
     part = F.slice(F.split(text, "\n"), start, n)
     return df.select(key, F.posexplode(part).alias("i", "line")).select(key, (F.col("i") + start).cast("bigint").alias("line_no"), "line")

@@ -248,7 +248,7 @@ def distinct_counts(spark, d):
     O.with_(
         O.TOOL_SEQ,
         """, r AS (SELECT seq, path, CAST(floor(value*1000) AS BIGINT) AS size FROM tq WHERE event_type = 'view' AND k % 2 = 1)
-SELECT seq, path, size, CAST(greatest(0, ceil(least(size, 2000000)/4.0) - 600) AS BIGINT) AS tokens FROM r WHERE size > 60000""",
+SELECT seq, path, size, CAST(greatest(0, ceil(size/4.0) - 600) AS BIGINT) AS tokens FROM r WHERE size > 60000""",
     ),
 )
 def large_reads(spark, d):

@@ -302,15 +302,15 @@ def squeeze_text(spark, d):
 
 @query(
     "corpus_grep",
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE regexp_matches(source, '^src[0-4]$')),
-m AS (SELECT * FROM l WHERE regexp_matches(line, '(?i)ting[a-z]* on'))
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+m AS (SELECT l.* FROM l JOIN documents d USING (doc_id) WHERE regexp_matches(d.source, '^src[0-4]$') AND regexp_matches(line, '(?i)ting[a-z]* on|^anti [a-z]|the[.]$'))
 SELECT 'grep' AS op, doc_id, line_no, line, greatest(0, (SELECT count(*) FROM m) - 100) AS more FROM (SELECT * FROM m ORDER BY doc_id, line_no LIMIT 100)
 UNION ALL SELECT 'read', doc_id, line_no, line, 0 FROM l WHERE line_no BETWEEN 2 AND 4""",
 )
 def corpus_grep(spark, d):
     some = docs(spark, d).filter(F.col("source").rlike("^src[0-4]$"))
-    found = K.grep_lines(some, "doc_id", "ting[a-z]* on").withColumn("op", F.lit("grep"))
-    part = K.read_lines(some, "doc_id", 2, 4).withColumns({"op": F.lit("read"), "more": F.lit(0).cast("bigint")})
+    found = K.grep_lines(some, "doc_id", r"ting[a-z]* on|^anti [a-z]|the[.]$").withColumn("op", F.lit("grep"))
+    part = K.read_lines(docs(spark, d), "doc_id", 2, 4).withColumns({"op": F.lit("read"), "more": F.lit(0).cast("bigint")})
     return found.unionByName(part)
 
 

@@ -234,14 +234,16 @@ def usage_grouping_sets(spark, d):
     O.with_(
         O.REQUESTS,
         """SELECT session_id, count(*) AS replies FROM requests r WHERE NOT EXISTS (
-  SELECT 1 FROM requests q WHERE q.tag IS NULL AND q.source = 'proxy' AND q.k = 7
+  SELECT 1 FROM requests q WHERE q.tag IS NULL AND q.source = 'proxy' AND q.k = 7 AND q.us < (SELECT (min(f) + max(f)) // 2 FROM (SELECT min(us) AS f FROM requests GROUP BY session_id))
     AND q.us >= (SELECT min(us) FROM requests f WHERE f.session_id = r.session_id) - 60000000)
 GROUP BY session_id""",
     ),
 )
 def meter_no_double(spark, d):
     log = B.requests(spark, d)
-    proxy_log = log.withColumn("source", F.when((F.col("k") == 7) & (F.col("source") == "proxy"), "proxy").otherwise("transcript"))
+    # the proxy stopped when about half of the sessions had begun
+    middle = log.groupBy("session_id").agg(F.min("us").alias("f")).agg(F.expr("(min(f) + max(f)) div 2")).scalar()
+    proxy_log = log.withColumn("source", F.when((F.col("k") == 7) & (F.col("source") == "proxy") & (F.col("us") < middle), "proxy").otherwise("transcript"))
     return M.without_double_count(log, proxy_log).groupBy("session_id").agg(F.count("*").alias("replies"))
 
 

@@ -121,14 +121,14 @@ RISKY_COMMANDS = [
     ("disk-write", "line", r"\bmkfs(\.\w+)?\b|\bdd\b[^;&|]*\bof=/dev/(?!null\b)|>\s*/dev/(sd|disk|nvme)"),
     ("open-permissions", "line", r"(?m)\bchmod\s+(-R\s+|--recursive\s+)\S*777\s+(/|~|\$HOME)\S*\s*$"),
     ("rm-rf", "part", r"^rm(?=.*\s(?:-[a-zA-Z]*[rR]|--recursive))(?=.*\s(?:-[a-zA-Z]*f|--force)).*\s" + WIDE_TARGET + r"(?:\s|$)"),
-    ("force-push", "part", r"^git\s+push\b(?!.*--force-with-lease)(?!.*--force-if-includes).*\s(?:--force|-[a-zA-Z]*f[a-zA-Z]*|\+\S+)(?:\s|$)"),
-    ("delete-remote-branch", "part", r"^git\s+push\b(?!.*--force-with-lease).*\s(?:--delete|-d|:\S+)(?:\s|$)"),
-    ("hard-reset", "part", r"^git\s+reset\b.*\s--hard(?:\s|$)"),
-    ("clean-untracked", "part", r"^git\s+clean\b.*\s(?:-[a-zA-Z]*f|--force)"),
-    ("discard-changes", "part", r"^git\s+(?:checkout|restore)\b(?!.*--staged)(?:.*\s)(?:\.|\./|:/|\*)(?:\s|$)"),
-    ("delete-branch", "part", r"^git\s+branch\b.*\s-D(?:\s|$)"),
-    ("drop-stash", "part", r"^git\s+stash\s+(?:clear|drop)\b"),
-    ("rewrite-history", "part", r"^git\s+filter-(?:branch|repo)\b"),
+    ("force-push", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*push\b(?!.*--force-with-lease)(?!.*--force-if-includes).*\s(?:--force|-[a-zA-Z]*f[a-zA-Z]*|\+\S+)(?:\s|$)"),
+    ("delete-remote-branch", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*push\b(?!.*--force-with-lease).*\s(?:--delete|-d|:\S+)(?:\s|$)"),
+    ("hard-reset", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*reset\b.*\s--hard(?:\s|$)"),
+    ("clean-untracked", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*clean\b.*\s(?:-[a-zA-Z]*f|--force)"),
+    ("discard-changes", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*(?:checkout|restore)\b(?:(?!.*--staged)|(?=.*--worktree))(?:.*\s)(?:\.|\./|:/|\*)(?:\s|$)"),
+    ("delete-branch", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*branch\b(?:.*\s-D(?:\s|$)|(?=.*\s(?:--delete|-d)(?:\s|$))(?=.*\s(?:--force|-f)(?:\s|$)))"),
+    ("drop-stash", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*stash\s+(?:clear|drop)\b"),
+    ("rewrite-history", "part", r"^git\s+(?:-[cC]\s+\S+\s+)*filter-(?:branch|repo)\b"),
 ]
 
 # --- fixed values: success claims and honest phrases ---
