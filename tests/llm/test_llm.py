@@ -169,7 +169,7 @@ def test_multi_index_links(spark):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     links = [(a, b) for a in range(280) for b in range(a) if a % 2 == b % 2 and u[a] @ u[b] >= 0.98]
     least, n = least_reachable(range(300), links), Counter(i for pair in links for i in pair)
-    got = multi_index.near_copies(df, codewords=4).collect()
+    got = multi_index.near_copies(df, recall=1.0, codewords=4).collect()
     assert len(got) == 306
     for r in got:
         assert (r.n_links, r.component_id) == ((n[r.vec_id], least[r.vec_id]) if r.vec_id < 300 else (0, r.vec_id))

@@ -3,10 +3,10 @@
 The two halves of the unit vectors have a codebook each; a pair of codewords is a cell, and a vector is filed
 in the cell of its nearest codewords.  A vector then visits cells in the order of the multi-sequence
 algorithm: by the sum of what the two halves need at least to reach them, that is their squared distances to
-the bisector planes between the codeword and the vector's own.  It stops at the squared distance of two
-linked vectors.  A linked vector cannot lie in a later cell, so at the default target recall of 1 no link is
-missed; a lower target shortens the traversal by a quantile fitted on the sample.  Visits are verified by
-cosine in double precision, in blocks.
+the bisector planes between the codeword and the vector's own.  The traversal stops at the target recall: at a quantile,
+with a margin, of what neighbours of sampled vectors made at exactly the threshold need.  At a target of 1 it
+stops at the squared distance of two linked vectors, beyond which no linked vector can lie.  Visits are
+verified by cosine in double precision, in blocks.
 
 Codebooks come from a bounded sample.  Exact copies are one vector with a weight.  A block returns per vector
 its number of links and a spanning forest of the links, never the links themselves.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import components, finite_vector, in_blocks, saved
 
 #: Vectors to fit on, codewords per half, rows and visitors of one block.
-SAMPLE, CODEWORDS, ROWS, VISITORS = 8192, 64, 4096, 2048
+SAMPLE, CODEWORDS, ROWS, VISITORS = 8192, 16, 4096, 2048
+#: Target recall of neighbours at the threshold, and the margin on where the traversal stops.
+RECALL, MARGIN = 0.99999, 1.5
 
 
 def codebook(x: np.ndarray, words: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -75,7 +77,7 @@ def fitted_stop(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: flo
     cost = 0
     for part, book in zip((slice(None, half), slice(half, None)), books):
         cost = cost + needs(x[:, part], book)[1][np.arange(len(x)), needs(y[:, part], book)[0]]
-    return min(limit, float(np.quantile(cost, recall)) + 1e-12)
+    return min(limit, MARGIN * float(np.quantile(cost, recall)) + 1e-12)
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -92,7 +94,7 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(int(x), int(y)) for x, y in zip(ids, to) if x != y]
 
 
-def near_copies(vectors: DataFrame, cosine: float = 0.98, recall: float = 1.0, codewords: int = CODEWORDS, seed: int = 3) -> DataFrame:
+def near_copies(vectors: DataFrame, cosine: float = 0.98, recall: float = RECALL, codewords: int = CODEWORDS, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors link if their labels are equal and not null and their cosine is at least ``cosine``.  Vectors
