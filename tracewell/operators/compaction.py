@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewell import rules as R
 from tracewell.functions.commands import command_parts, wants_content
 from tracewell.functions.text import removed_tokens, token_estimate
+from tracewell.session import written
 
 
 def slice_text(text: Column, start: Column, end: Column | None = None) -> Column:
@@ -366,9 +367,11 @@ def compaction_chain(df: DataFrame, key: str, command: str = "command", text: st
     """Rules, tests, JSON, then trim; the first step that changed the text names the kind.
 
     Adds ``short`` and reports kind, removed_chars and saved_tokens where at least 200 characters went.
+    The noise step's and the last step's results are tables in the shared folder: filters on them would
+    otherwise be rewritten over nested expressions, each level copying the one below, and not plan in minutes.
     """
     df = df.withColumn("__fam", command_families(F.col(command)))
-    df = drop_command_noise(df, text, "__fam", "__a").drop("dropped")
+    df = written(drop_command_noise(df, text, "__fam", "__a").drop("dropped"), "quiet-output")
     tests = test_summary(test_lines(df, key, "__a"), key).filter("changed").select(key, F.col("summary").alias("__sum"))
     df = df.join(tests, key, "left").withColumn("__b", F.coalesce("__sum", "__a"))
     packed = json_compact(df.select(key, "__b"), "__b").filter("changed")
@@ -383,9 +386,9 @@ def compaction_chain(df: DataFrame, key: str, command: str = "command", text: st
         .when(F.col("short") != F.col("__c2"), "trim")
     )
     removed = F.length(text) - F.length("short")
-    df = df.withColumns({"kind": kind, "removed_chars": removed.cast("bigint")})
-    df = df.filter(F.col("kind").isNotNull() & (F.col("removed_chars") >= R.MIN_REMOVED_CHARS))
-    return df.withColumn("saved_tokens", removed_tokens(F.col("removed_chars"))).drop("__fam", "__a", "__sum", "__b", "__json", "__c2")
+    df = df.withColumns({"kind": kind, "removed_chars": removed.cast("bigint")}).drop("__fam", "__a", "__sum", "__b", "__json", "__c2")
+    df = written(df, "short-output").filter(F.col("kind").isNotNull() & (F.col("removed_chars") >= R.MIN_REMOVED_CHARS))
+    return df.withColumn("saved_tokens", removed_tokens(F.col("removed_chars")))
 
 
 # --- prose --------------------------------------------------------------------
