@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metering", "context", "behaviour", "compaction"]
+MODULES = ["metering", "context", "behaviour", "compaction", "search"]
 
 
 def load_all() -> None:
