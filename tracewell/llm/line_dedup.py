@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import saved
+
 #: Slices of one hash.
 SLICES = 32
 BLANKS = " \t\n\x0b\x0c\r"
@@ -59,6 +61,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     own = docs.select(*_row_key(), F.transform(lines_of(F.col("text")), line_key).alias("__keys"))
     at = own.select("__id", "__text", F.posexplode("__keys").alias("__pos", "__key")).where(F.char_length("__key") >= min_chars)
     at = at.select("__id", "__text", "__pos", F.xxhash64("__key").alias("h"), F.xxhash64(F.lit("second"), "__key").alias("g"), F.pmod(F.xxhash64("__id"), F.lit(SLICES)).cast("int").alias("slice"))
+    # written once: the range bounds, the counts and the join all read the hashes, and none splits the texts again
+    at = saved(at, "line-hashes")
     hashed = at.repartitionByRange("h", "slice")
     by_slice = Window.partitionBy("h", "slice", "g").orderBy(F.col("__id").desc(), "__pos")
     seen = hashed.select("h", "g", "slice", "__id", (F.coalesce(F.lag("__id").over(by_slice) != F.col("__id"), F.lit(True))).alias("new_doc"))
