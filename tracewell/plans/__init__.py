@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metering", "context", "behaviour", "compaction", "search"]
+MODULES = ["metering", "context", "behaviour", "compaction", "search", "memory"]
 
 
 def load_all() -> None:
