@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metering", "context", "behaviour", "compaction", "search", "memory"]
+MODULES = ["metering", "context", "behaviour", "compaction", "search", "memory", "streams"]
 
 
 def load_all() -> None:
