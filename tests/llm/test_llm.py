@@ -53,6 +53,24 @@ def test_ngram_join_against_all_pairs(spark):
     assert got == want
 
 
+def test_ngram_join_keeps_links_far_from_the_leader(spark):
+    """Linked pairs of about 0.37 to their leader, whose own copies are the main component of every list that they share."""
+    g, rows, pools = np.random.default_rng(2), [], []
+    for f in range(80):
+        lead, pool = [f"l{f}x{i}" for i in range(57)], [f"p{f}x{i}" for i in range(24)]
+        rows += [lead + [f"u{f}x{c}x{i}" for i in range(3)] for c in range(4)]
+        order = g.permutation(57).tolist()
+        held, pools = order[:34], [*pools, *pool, *[lead[i] for i in order[34:]]]
+        rows += [[lead[i] for i in held] + pool + [f"o{f}x{c}x{i}" for i in range(4)] for c in range(2)]
+    rows += [pools + [f"f{k}x{i}" for i in range(3000)] for k in range(8)]  # makes all but what the leader shares frequent, links with nothing
+    sets = [set(r) for r in rows]
+    links = [(a, b) for a in range(480) for b in range(a // 6 * 6, a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = least_reachable(range(len(rows)), links)
+    assert all(want[k + 5] == k + 4 and want[k + 3] == k for k in range(0, 480, 6))
+    got = ngram_join.link_documents(texts(spark, [(i, " ".join(r)) for i, r in enumerate(rows)]), n=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_mix_targets_and_limits(spark):
     rows = [(i, "w " * (i % 7 * 40), s) for i, s in enumerate(["b"] * 30 + ["a"] * 5 + [None] * 9)] + [(0, None, "b"), (0, None, "b"), (None, "x y", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -15,7 +15,8 @@
    and each distinct pair is verified once.
 
 Verification first applies the suffix filter (a bound from splitting both sorted sets at common pivots),
-then intersects the whole sets.  N-grams are 64-bit hashes; sets are told apart by a 64-bit signature.
+then intersects the whole sets; with leaders it always intersects, as the triangle inequality needs the
+distance itself and not a bound on it.  N-grams are 64-bit hashes; sets are told apart by a 64-bit signature.
 """
 
 from __future__ import annotations
@@ -208,8 +209,8 @@ def _member_texts(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFra
     return saved(own.join(wanted, "rep").select("sig", "text"), "texts")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``pairs`` (leader, sig) with the sizes of both sets, their overlap (or a bound on it) and ``linked``.
+def _verified(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int, exact: bool = False) -> DataFrame:
+    """``pairs`` (leader, sig) with the sizes of both sets, their overlap (unless ``exact``, perhaps an upper bound on it) and ``linked``.
 
     The texts of the partners go to their leader, in groups of about ``GROUP`` partners; the leader's text
     goes to each of these.
@@ -232,7 +233,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
                     continue
                 assert key == (leader, salt)
                 most = (len(x) + len(first) - _suffix_bound(first, x)) // 2
-                if (num + den) * most >= num * (len(x) + len(first)):
+                if exact or (num + den) * most >= num * (len(x) + len(first)):
                     most = len(np.intersect1d(first, x, assume_unique=True))
                 out.append((leader, sig, len(first), len(x), most, (num + den) * most >= num * (len(x) + len(first))))
             if out:
@@ -265,7 +266,7 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, h
     leaders = lists.where("part >= 0 and sig = leader").select("gram", F.lit(-1).alias("part"), "sig", "size", "pos")
     lists = lists.union(saved(_lists(leaders, num, den), "leaders"))
     texts = _member_texts(docs, reps, lists)
-    stars = _verified(texts, saved(lists.where("sig <> leader").select("leader", "sig").distinct(), "stars"), n, num, den)
+    stars = _verified(texts, saved(lists.where("sig <> leader").select("leader", "sig").distinct(), "stars"), n, num, den, exact=True)
     links = stars.where("linked").select(F.col("leader").alias("a"), F.col("sig").alias("b"))
     member = saved(components(links), "member")
 
