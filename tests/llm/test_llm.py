@@ -157,6 +157,16 @@ def test_pseudo_likelihood_prefers_real_order(spark):
     assert (pseudo_likelihood._hidden(w, flat, at) == pseudo_likelihood._hidden(w, other, at)).all()  # a word does not see itself
 
 
+def test_pseudo_likelihood_of_rare_words(spark):
+    numbers = pseudo_likelihood._Numbers([])
+    a, b, unseen = [w for i in range(400) if numbers[(w := f"r{i}").encode()] == numbers[b"r0"]][:3]
+    docs = texts(spark, [(1, " ".join(f"w{i}" for i in range(992)) + " ") for _ in range(5)] + [(2, a), (3, f"{a} {a} {a}"), (4, b), (5, unseen)])
+    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, pseudo_likelihood.train(docs.where("doc_id < 5"), rounds=1)).collect()}
+    assert got[2].log_likelihood - got[4].log_likelihood == pytest.approx(np.log(4))  # seen 4 times and once, in one bucket
+    assert got[5].log_likelihood == pytest.approx(got[4].log_likelihood)
+    assert pseudo_likelihood.STRIDE == 1  # every word is a training target
+
+
 def vectors(spark, n=300, dim=8):
     g = np.random.default_rng(1)
     x = g.standard_normal((n, dim)).astype(np.float32)

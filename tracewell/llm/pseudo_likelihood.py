@@ -3,12 +3,14 @@
 A small network predicts every word of a text from the ``WINDOW`` words on both of its sides, the word itself
 left out; the sum of the conditional log-probabilities scores the document.  The network adds one embedding
 per neighbour and offset, takes a tanh, and predicts in two steps: the word's class, then the word within
-its class.  Words beyond the vocabulary are predicted as one of ``UNKNOWN`` hashed unknowns.
+its class.  Words beyond the network's vocabulary are predicted as one of ``UNKNOWN`` hashed buckets, times the
+word's share of its bucket.  The shares stay in a Spark table, a row per distinct word, to which scoring joins
+the words of the documents.  Words are told apart there by 64-bit hashes.
 
 Word counts are taken over all documents.  Training goes over the whole corpus in rounds: every task runs
 Adagrad on its own documents, on every ``STRIDE``-th word as a target, starting from the common weights, and
 the tasks' weights are averaged by the words they saw.  So what is gathered grows with the corpus, and what
-reaches the driver (one set of weights, one vocabulary) does not.
+reaches the driver (one set of weights, one vocabulary, one sum per bucket) does not.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import saved
+
 #: Words per class, classes, hashed unknowns among them; neighbours on each side; width of the network.
 MEMBERS, CLASSES, UNKNOWN, WINDOW, WIDTH = 32, 32, 32, 2, 16
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 1024, 0.1
+STRIDE, ROUNDS, BATCH, RATE = 1, 2, 1024, 0.1
 #: Weights that travel in one row.
 PART = 1 << 14
 VOCABULARY = MEMBERS * CLASSES - UNKNOWN
@@ -55,6 +59,11 @@ def first_weights(counts: np.ndarray, seed: int) -> np.ndarray:
     return flat
 
 
+def _hash(word: bytes) -> int:
+    """A signed 64-bit hash."""
+    return (xxhash.xxh64_intdigest(word) ^ (1 << 63)) - (1 << 63)
+
+
 class _Numbers(dict):
     """Numbers of words; unknown ones get a hashed number and are not remembered for ever."""
 
@@ -66,7 +75,7 @@ class _Numbers(dict):
         if word not in self.rest:
             if len(self.rest) > 500_000:
                 self.rest.clear()
-            self.rest[word] = VOCABULARY + xxhash.xxh32_intdigest(word) % UNKNOWN
+            self.rest[word] = VOCABULARY + _hash(word) % UNKNOWN
         return self.rest[word]
 
 
@@ -91,6 +100,12 @@ def _laid_out(texts: list[str | None], numbers: _Numbers) -> tuple[np.ndarray, n
     return flat, np.flatnonzero(flat != GAP), np.array(lengths, np.int64)
 
 
+def _rare(text: str | None, numbers: _Numbers) -> tuple[list[int], list[int]]:
+    """(hashes, counts) of the distinct words of a text that are beyond the vocabulary."""
+    found = Counter(w for w in _words(text) if w not in numbers)
+    return [_hash(w) for w in found], list(found.values())
+
+
 def _hidden(w: dict, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = w["near"][0][flat[at + OFFSETS[0]]]
     for k, o in enumerate(OFFSETS[1:], 1):
@@ -146,13 +161,13 @@ def train_step(w: dict, g: dict, sums: dict, flat: np.ndarray, at: np.ndarray) -
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents."""
+    """(word, h, n) over all documents; h is the word's hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
 
         def out():
-            found = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in total], pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+            found = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in total], pa.string()), pa.array([_hash(w) for w in total], pa.int64()), pa.array(total.values(), pa.int64())], ["word", "h", "n"])
             total.clear()
             return found
 
@@ -163,17 +178,23 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, h bigint, n bigint").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 9) -> tuple[list[str], np.ndarray]:
-    """(vocabulary, weights) of a network trained on ``docs``."""
-    counted = count_words(docs)
+def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 9) -> tuple[list[str], np.ndarray, DataFrame, list[int]]:
+    """(vocabulary, weights, rest, sums) of a network trained on ``docs``: ``rest`` (h, n) counts the words beyond
+    the vocabulary, ``sums`` adds them up by bucket."""
+    counted = saved(count_words(docs), "words")
     top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()
-    whole = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rest = counted.where("false")
+    if len(top) == VOCABULARY:
+        rest = counted.where((F.col("n") < top[-1].n) | ((F.col("n") == top[-1].n) & (F.col("word") > top[-1].word)))
+    rest, sums = rest.select("h", "n"), [0] * UNKNOWN
+    for bucket, n in rest.groupBy(F.pmod("h", F.lit(UNKNOWN))).agg(F.sum("n")).collect():
+        sums[bucket] = n
     counts = np.zeros(GAP)
     counts[: len(top)] = [r.n for r in top]
-    counts[VOCABULARY:] = (whole - counts.sum()) / UNKNOWN
+    counts[VOCABULARY:] = sums
     vocabulary, flat = [r.word for r in top], first_weights(counts, seed)
     context = docs.sparkSession.sparkContext
     for _ in range(rounds):
@@ -205,25 +226,36 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int
         means = sorted(learned.groupBy("part").applyInArrow(average, "part int, weights binary").collect())
         if means:
             flat = np.concatenate([np.frombuffer(r.weights, np.float32) for r in means])
-    return vocabulary, flat
+    return vocabulary, flat, rest, sums
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[str], np.ndarray, DataFrame, list[int]]) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) per row of ``docs`` (doc_id, text).
 
     A null or empty text has no word, a sum of 0 and a null mean.  Rows that repeat, and null ids, keep
-    their rows; an empty table gives none.
+    their rows; an empty table gives none.  In each bucket all words that training did not see count as one
+    word that it saw once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    vocabulary, weights, rest, sums = model
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
-        numbers, w = _Numbers(words), unpack(flat)
+        numbers, w, row = _Numbers(words), unpack(flat), TaskContext.get().partitionId() << 33
         for batch in _slices(batches):
-            text, at, lengths = _laid_out(batch.column("text").to_pylist(), numbers)
+            texts = batch.column("text").to_pylist()
+            text, at, lengths = _laid_out(texts, numbers)
             p = log_probabilities(w, text, at)
             sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), p, len(lengths))
-            means = [s / n if n else None for s, n in zip(sums.tolist(), lengths.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+            rare = [_rare(x, numbers) for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(texts)), pa.int64()), batch.column("doc_id"), pa.array(lengths), pa.array(sums), pa.array([r[0] for r in rare], pa.list_(pa.int64())), pa.array([r[1] for r in rare], pa.list_(pa.int64()))], ["row", "doc_id", "n_tokens", "sum", "h", "k"])
+            row += len(texts)
+
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, sum double, h array<bigint>, k array<bigint>")
+    scored = saved(scored, "scored")
+    rare = scored.select("row", F.inline(F.arrays_zip("h", "k"))).join(rest, "h", "left")
+    whole = F.element_at(F.array(*[F.lit(float(n + 1)) for n in sums]), (F.pmod("h", F.lit(UNKNOWN)) + 1).cast("int"))
+    share = F.col("k") * F.log(F.coalesce("n", F.lit(1)) / whole)
+    rare = rare.groupBy("row").agg(F.sum(share.cast("decimal(28,12)")).cast("double").alias("shares"))  # decimals: one sum in any order
+    both = scored.select("row", "doc_id", "n_tokens", "sum").join(rare, "row", "left").withColumn("log_likelihood", F.col("sum") + F.coalesce("shares", F.lit(0.0)))
+    return both.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
