@@ -4,13 +4,15 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
+from tests.harness import compare
 from tests.llm.brute import jaccard_components, least_reachable
-from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, pseudo_likelihood, toxicity
+from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, pseudo_likelihood, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +42,21 @@ def test_chat_round_trip(spark):
     assert chat.read_turns(one[3].formatted) == [("system", ""), ("user", hard), ("assistant", hard)]  # all turns before it as context
 
 
+def test_chat_long_conversation(spark, tmp_path):
+    """All turns before a reply are its context, beyond 64 turns, with gaps and negative numbers too."""
+    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i} <turn x") for i in range(200)] + [(2, i * 50 - 120, "assistant", f"s{i}") for i in range(8)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert compare(con, queries.op1(spark, str(tmp_path)), queries.CHAT_SQL) is None
+    examples = chat.prefix_targets(table).collect()
+    for r in examples:
+        said = chat.read_turns(r.formatted)
+        assert said == [(role, text) for c, _, role, text in rows if c == r.conv_id][: len(said)]
+    assert sorted(r.context_blocks for r in examples if r.conv_id == 2) == [0, 0, 1, 2, 3, 4, 4, 5]
+
+
 @pytest.mark.parametrize("hot", [ngram_join.HOT_LIST, 3])
 def test_ngram_join_small(spark, hot):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(texts(spark), hot=hot).collect()), key=str)

@@ -5,11 +5,9 @@ The template is ``<turn ROLE>\\nTEXT</turn>\\n`` per turn.  Inside roles and tex
 the control strings become backslash codes, so that no text can open or close a turn and reading back gives
 exactly what went in.
 
-A conversation's turns are grouped in blocks of ``block_turns`` consecutive turn numbers.  An example's text
-starts at its block and ``context_blocks`` says how many blocks of the same conversation stand before it;
-the text of such a block is that of its row with ``closes_block``.  So a long conversation costs in
-proportion to its length, and none needs one task for all its examples; a conversation of one block, the
-usual case, has its whole context in each example.
+A conversation's turns are grouped in blocks of ``block_turns`` consecutive turn numbers, which are rendered
+once each; an example's text is that of all blocks before its own and of its block up to the reply.  So the
+examples of a long conversation grow with the square of its length, as prefixes do.
 """
 
 from __future__ import annotations
@@ -19,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<turn ", "</turn>"
@@ -55,24 +53,26 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def prefix_targets(turns: DataFrame, block_turns: int = 64, target_role: str = "assistant") -> DataFrame:
     """Examples of ``turns`` (conv_id, turn, role, text).
 
-    Columns: conv_id, block, example (position in the block), context_blocks, formatted, loss_start and
-    loss_end (code points of the reply within ``formatted``; both null for a row without a target) and
-    closes_block.  A block that does not end in a reply gets a last row without target, so that no turn is
+    Columns: conv_id, block, example (position in the block), context_blocks (blocks before it), formatted,
+    own_start (code point of ``formatted`` at which the block starts), loss_start and loss_end (code points of
+    the reply within ``formatted``; both null for a row without a target) and closes_block.  A block that does not end in a reply gets a last row without target, so that no turn is
     lost.  Turns are ordered by number (null first), then role and text; null roles and texts are empty;
     rows that repeat stay; null conv_ids form one conversation; an empty table gives no rows.
     """
     t = turns.select("conv_id", F.floor(F.col("turn") / block_turns).alias("block"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), escaped(F.col("text")).alias("text")).alias("t"))
-    blocks = t.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    blocks = t.repartition("conv_id").groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     rendered = F.transform("ts", lambda t: F.concat(F.lit(OPEN), escaped(t["role"], role=True), F.lit(">\n"), t["text"], F.lit(f"{CLOSE}\n")))
     blocks = blocks.withColumn("rendered", rendered).withColumn("n", F.size("ts"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("own", F.array_join("rendered", "")).withColumn("before", F.collect_list("own").over(earlier)).drop("own")
+    blocks = blocks.withColumn("context_blocks", F.size("before").cast("long")).withColumn("before", F.array_join("before", ""))
     at = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (F.element_at("ts", i)["role"] == target_role) | (i == F.col("n")))
-    examples = blocks.withColumn("at", F.explode(at)).withColumn("formatted", F.array_join(F.slice("rendered", F.lit(1), F.col("at")), ""))
+    examples = blocks.withColumn("at", F.explode(at)).withColumn("formatted", F.concat("before", F.array_join(F.slice("rendered", F.lit(1), F.col("at")), "")))
     last = F.element_at("ts", F.col("at"))
     end = F.char_length("formatted") - len(CLOSE) - 1
     hit = last["role"] == target_role
-    before = F.when(F.col("block") > 0, F.col("block")).otherwise(0)
     return examples.select(
-        "conv_id", "block", F.col("at").alias("example"), before.alias("context_blocks"), "formatted",
+        "conv_id", "block", F.col("at").alias("example"), "context_blocks", "formatted", F.char_length("before").alias("own_start"),
         F.when(hit, end - F.char_length(last["text"])).alias("loss_start"), F.when(hit, end).alias("loss_end"), (F.col("at") == F.col("n")).alias("closes_block"),
     )
 
@@ -84,7 +84,7 @@ def digest_examples(examples: DataFrame) -> DataFrame:
     """
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint"
     sorted_rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "block", "example")
-    sorted_rows = sorted_rows.select("conv_id", "formatted", "loss_start", "loss_end", "closes_block")
+    sorted_rows = sorted_rows.select("conv_id", "formatted", "own_start", "loss_start", "loss_end", "closes_block")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
@@ -96,7 +96,7 @@ def digest_examples(examples: DataFrame) -> DataFrame:
                 done.append([state["id"], state["turns"], state["all"].hexdigest(), state["loss"], state["own"].hexdigest(), state["chars"], state["rows"]])
 
         for batch in batches:
-            for conv, text, start, end, closes in zip(*[c.to_pylist() for c in batch.columns]):
+            for conv, text, own, start, end, closes in zip(*[c.to_pylist() for c in batch.columns]):
                 if state is None or state["id"] != conv:
                     close()
                     state = {"id": conv, "turns": 0, "loss": 0, "chars": 0, "rows": 0, "all": hashlib.sha256(), "own": hashlib.sha256()}
@@ -107,7 +107,7 @@ def digest_examples(examples: DataFrame) -> DataFrame:
                     state["loss"] += len(reply)
                     state["own"].update(reply.encode())
                 if closes:
-                    for role, said in read_turns(text):
+                    for role, said in read_turns(text[own:]):
                         state["turns"] += 1
                         state["all"].update(f"{role}\n{said}\n".encode())
             if done:
