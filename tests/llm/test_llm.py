@@ -221,6 +221,26 @@ def test_multi_index_links(spark):
         assert r.kept == (r.vec_id == r.component_id)
 
 
+def test_multi_index_towards_codewords(spark):
+    """Pairs that differ along the directions between codewords are linked at the default recall."""
+    g = np.random.default_rng(4)
+    x = g.standard_normal((600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    book = multi_index.codebook(x[:, :32], 16, 3)
+    own = multi_index.needs(x[:, :32], book)[0]
+    y = np.empty_like(x)
+    for i in range(len(x)):
+        d = np.concatenate([book[(own[i] + 1 + g.integers(15)) % 16] - book[own[i]], np.zeros(32)])
+        d -= d @ x[i] * x[i]
+        y[i] = 0.981 * x[i] + np.sqrt(1 - 0.981**2) * d / np.linalg.norm(d)
+    z = np.concatenate([x, y])
+    near = z @ z.T >= 0.98
+    np.fill_diagonal(near, False)
+    least = least_reachable(range(1200), [(a, b) for a, b in np.argwhere(near).tolist() if a < b])
+    got = multi_index.near_copies(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(z)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(near[i].sum()), least[i]) for i in range(1200)}
+
+
 def test_empty_tables(spark):
     none = texts(spark, [])
     assert chat.digest_examples(chat.prefix_targets(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0

@@ -3,10 +3,13 @@
 The two halves of the unit vectors have a codebook each; a pair of codewords is a cell, and a vector is filed
 in the cell of its nearest codewords.  A vector then visits cells in the order of the multi-sequence
 algorithm: by the sum of what the two halves need at least to reach them, that is their squared distances to
-the bisector planes between the codeword and the vector's own.  The traversal stops at the target recall: at a quantile,
-with a margin, of what neighbours of sampled vectors made at exactly the threshold need.  At a target of 1 it
-stops at the squared distance of two linked vectors, beyond which no linked vector can lie.  Visits are
-verified by cosine in double precision, in blocks.
+the bisector planes between the codeword and the vector's own.  Two vectors in different cells lie on both
+sides of one such plane in each half whose codewords differ, so their distance is at least the sum of what
+both need there: at least one of them needs a quarter of the squared distance of linked vectors at most if one
+half differs, and half of it if both do.  The traversal stops at these bounds, and no link is lost.  A pair
+that both sides reach counts from the smaller id only; a pair that one side reaches counts for both.  A target
+recall below 1 stops earlier: at a quantile, with a margin, of what neighbours of sampled vectors made at
+exactly the threshold need.  Visits are verified by cosine in double precision, in blocks.
 
 Codebooks come from a bounded sample.  Exact copies are one vector with a weight.  A block returns per vector
 its number of links and a spanning forest of the links, never the links themselves.
@@ -28,8 +31,8 @@ from tracewell.llm.common import components, finite_vector, in_blocks, saved
 
 #: Vectors to fit on, codewords per half, rows and visitors of one block.
 SAMPLE, CODEWORDS, ROWS, VISITORS = 8192, 16, 4096, 2048
-#: Target recall of neighbours at the threshold, and the margin on where the traversal stops.
-RECALL, MARGIN = 0.99999, 1.5
+#: Target recall of neighbours at the threshold (1: all), and the margin on where the traversal stops below 1.
+RECALL, MARGIN = 1.0, 1.5
 
 
 def codebook(x: np.ndarray, words: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -55,19 +58,24 @@ def needs(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.where(gap > 0, plane, 0).clip(0) ** 2
 
 
-def traversal(first: np.ndarray, second: np.ndarray, stop: float) -> Iterator[tuple[int, int]]:
-    """Cells of one vector in order of the summed needs of their halves, up to ``stop``."""
+def traversal(first: np.ndarray, second: np.ndarray, own: tuple[int, int], stop: float, limit: float) -> Iterator[tuple[int, int]]:
+    """Cells of one vector in order of the summed needs of their halves, up to ``stop`` and to the bound of ``limit``."""
     i, j = np.flatnonzero(first <= stop), np.flatnonzero(second <= stop)
     cost = first[i][:, None] + second[j][None]
+    bound = np.minimum(stop, np.where((i == own[0])[:, None] | (j == own[1])[None], limit / 4, limit / 2))
     for k in np.argsort(cost, axis=None, kind="stable"):
-        if cost.flat[k] > stop:
-            return
-        yield int(i[k // len(j)]), int(j[k % len(j)])
+        if cost.flat[k] <= bound.flat[k]:
+            yield int(i[k // len(j)]), int(j[k % len(j)])
+
+
+def geometric_limit(cosine: float) -> float:
+    """The squared distance of two linked unit vectors at most."""
+    return (2 - 2 * cosine) * (1 + 1e-9) + 1e-9
 
 
 def fitted_stop(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float, seed: int) -> float:
-    """Where the traversal stops: the geometric limit, or for a target below 1 the quantile of neighbours made at exactly ``cosine``."""
-    limit = (2 - 2 * cosine) * (1 + 1e-9) + 1e-9
+    """Where the traversal stops: half of the geometric limit, or for a target below 1 the quantile of neighbours made at exactly ``cosine``."""
+    limit = geometric_limit(cosine) / 2
     if recall >= 1 or not len(x):
         return limit
     noise = np.random.default_rng(seed).standard_normal(x.shape)
@@ -121,7 +129,7 @@ def near_copies(vectors: DataFrame, cosine: float = 0.98, recall: float = RECALL
     shared = spark.sparkContext.broadcast(fitted)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["label", "dim", "cell", "rep", "n", "v", "home"]
+        names, limit = ["label", "dim", "cell", "rep", "n", "v", "home", "reach"], geometric_limit(cosine)
         for whole in batches:
             dims = pa.compute.list_value_length(whole.column("v"))
             for dim in set(dims.to_pylist()):
@@ -132,20 +140,22 @@ def near_copies(vectors: DataFrame, cosine: float = 0.98, recall: float = RECALL
                     x = batch.column("v").flatten().to_numpy().reshape(len(batch), dim)
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                     (own1, need1), (own2, need2) = needs(x[:, : dim // 2], one), needs(x[:, dim // 2 :], two)
-                    row, cell, home = [], [], []
+                    row, cell, home, reach = [], [], [], []
                     for r in range(len(x)):
-                        for i, j in traversal(need1[r], need2[r], stop):
-                            row.append(r)
-                            cell.append(i * len(two) + j)
-                            home.append(i == own1[r] and j == own2[r])
+                        at_home = int(own1[r] * len(two) + own2[r])
+                        cells = [i * len(two) + j for i, j in traversal(need1[r], need2[r], (own1[r], own2[r]), stop, limit)]
+                        row += [r] * len(cells)
+                        cell += cells
+                        home += [at_home] * len(cells)
+                        reach += [cells if c == at_home else None for c in cells]
                     take = pa.array(row, pa.int32())
-                    yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(np.full(len(row), dim, np.int32)), pa.array(cell, pa.int32()), batch.column("rep").take(take), batch.column("n").take(take), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), dim).cast(pa.list_(pa.float64())).take(take), pa.array(home, pa.bool_())], names)
+                    yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(np.full(len(row), dim, np.int32)), pa.array(cell, pa.int32()), batch.column("rep").take(take), batch.column("n").take(take), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), dim).cast(pa.list_(pa.float64())).take(take), pa.array(home, pa.int32()), pa.array(reach, pa.list_(pa.int32()))], names)
 
     kind = copies.schema["label"].dataType.simpleString()
-    visits = copies.select("label", "rep", "n", "v").mapInArrow(visit, f"label {kind}, dim int, cell int, rep bigint, n bigint, v array<double>, home boolean")
+    visits = copies.select("label", "rep", "n", "v").mapInArrow(visit, f"label {kind}, dim int, cell int, rep bigint, n bigint, v array<double>, home int, reach array<int>")
     keys = ["label", "dim", "cell"]
-    filed = visits.where("home").select(*keys, F.col("rep").alias("row_id"), "n", "v")
-    visitors = visits.select(*keys, F.col("rep").alias("visitor_id"), "v")
+    filed = visits.where("cell = home").select(*keys, F.col("rep").alias("row_id"), "n", "v", "reach")
+    visitors = visits.select(*keys, F.col("rep").alias("visitor_id"), "n", "v", "home")
     filed, visitors = in_blocks(filed, visitors, keys, "row_id", "visitor_id", ROWS, VISITORS)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -154,11 +164,14 @@ def near_copies(vectors: DataFrame, cosine: float = 0.98, recall: float = RECALL
             ids, n, asked = left["row_id"].to_numpy(), left["n"].to_numpy(), right["visitor_id"].to_numpy()
             x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
             linked = (y @ x.T) >= cosine
-            linked &= asked[:, None] != ids[None]
-            hit = np.flatnonzero(linked.any(1))
-            counts = linked[hit] @ n
-            out = [(int(i), int(c), None) for i, c in zip(asked[hit], counts)]
-            seen = np.flatnonzero(linked.any(0))
+            # a pair that the other side reaches too counts from the smaller id, any other pair from here
+            reach, home = left["reach"].to_numpy(), right["home"].to_numpy()
+            reached = np.zeros((len(ids), 1 + max(home.max(), max(r.max() for r in reach))), bool)
+            reached[np.repeat(np.arange(len(ids)), [len(r) for r in reach]), np.concatenate(reach)] = True
+            linked &= (asked[:, None] < ids[None]) | (~reached[:, home].T & (asked[:, None] != ids[None]))
+            hit, seen = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            out = [(int(i), int(c), None) for i, c in zip(asked[hit], linked[hit] @ n)]
+            out += [(int(i), int(c), None) for i, c in zip(ids[seen], linked[:, seen].T @ right["n"].to_numpy())]
             out += [(a, 0, b) for a, b in forest(linked[np.ix_(hit, seen)], asked[hit], ids[seen])]
         return pd.DataFrame({"vec_id": pd.array([r[0] for r in out], "Int64"), "links": pd.array([r[1] for r in out], "Int64"), "other": pd.array([r[2] for r in out], "Int64")})
 
