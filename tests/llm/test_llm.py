@@ -209,6 +209,18 @@ def test_multiprobe_recall(spark, monkeypatch):
     assert hit >= 0.9 * 300 and 900 not in got and 904 not in got
 
 
+def test_multiprobe_repeated_rows(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(1, [1.0, 1.0])] * 12 + [(2, [2.0, 1.0 + j / 100]) for j in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multiprobe.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, float(i)) for i in range(1, 11)]
+
+
+def test_multiprobe_fit_says_what_it_misses():
+    sample = np.random.default_rng(1).standard_normal((300, 32))
+    assert not multiprobe.fit(sample, 8, 1, 10, 0.97, 5)[2] and multiprobe.fit(sample, 0, 1, 10, 0.97, 5)[2]
+
+
 def test_multi_index_links(spark):
     x, df = vectors(spark)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)

@@ -8,7 +8,7 @@ double precision, and the tables' candidates are merged and ranked.
 
 ``k`` grows with the logarithm of the number of rows, so that a bucket holds about ``BUCKET`` of them; a
 bucket that is larger is cut in blocks, none of its rows is left out.  ``w`` and the number of probes are
-fitted on a bounded sample so that its recall reaches ``recall``; the neighbours of a sample are farther
+fitted on a bounded sample so that its recall reaches ``recall``, with a smaller ``k`` where 4,096 probes do not; the neighbours of a sample are farther
 away than those of the whole table, so this is on the safe side.  A query that the probes bring too few
 candidates is compared with every row, in blocks.
 """
@@ -67,10 +67,10 @@ def probe_order(place: np.ndarray, probes: int) -> list[np.ndarray]:
     return found
 
 
-def fit(sample: np.ndarray, k: int, tables: int, top: int, recall: float, seed: int) -> tuple[float, int]:
-    """(w, probes): slots as wide as the projected distance to the ``top``-th neighbour, and probes that reach ``recall``."""
+def fit(sample: np.ndarray, k: int, tables: int, top: int, recall: float, seed: int) -> tuple[float, int, bool]:
+    """(w, probes, reached): slots as wide as the projected distance to the ``top``-th neighbour, probes that reach ``recall``, and whether the most that are allowed do."""
     if len(sample) < 2:
-        return 1.0, 1
+        return 1.0, 1, True
     queries = sample[:SAMPLE_QUERIES]
     far = ((sample**2).sum(1)[None] + (queries**2).sum(1)[:, None] - 2 * queries @ sample.T).clip(0)
     far[np.arange(len(queries)), np.arange(len(queries))] = np.inf
@@ -78,7 +78,7 @@ def fit(sample: np.ndarray, k: int, tables: int, top: int, recall: float, seed:
     near = np.argsort(far, 1, kind="stable")[:, :top]
     w = 1.5 * float(np.sqrt(np.median(far[np.arange(len(queries)), near[:, -1]]))) or 1.0
     if not k or not top:
-        return w, 1
+        return w, 1, True
     a, b = projections(sample.shape[1], k, tables, seed)
     place = np.einsum("tkd,nd->tnk", a, sample) / w + b[:, None]
     slots = np.floor(place).astype(np.int64)
@@ -89,7 +89,8 @@ def fit(sample: np.ndarray, k: int, tables: int, top: int, recall: float, seed:
             order = {tuple(s): i for i, s in enumerate(probe_order(place[t, q], min(most, 4096)))}
             first[q] = np.minimum(first[q], [order.get(tuple(s), most + 1) for s in slots[t, near[q]]])
     ranks = np.sort(first.reshape(-1))
-    return w, int(min(most, 4096, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))] + 1))
+    need = int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))] + 1)
+    return w, min(most, 4096, need), need <= min(most, 4096)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -107,9 +108,13 @@ def _nearest(rows: DataFrame, probes: DataFrame, keys: list[str], top: int) -> D
             ids, x = left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()).astype(np.float64)
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
+            repeats = len(np.unique(ids)) < len(ids)
             for q, v in zip(right["query_id"].to_numpy(), right["v"].to_numpy()):
                 d = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(1))
                 other = np.flatnonzero(ids != q)
+                if repeats:  # the nearest row of each id
+                    other = other[np.lexsort((d[other], ids[other]))]
+                    other = other[np.unique(ids[other], return_index=True)[1]]
                 best = other[np.argsort(d[other], kind="stable")[:top]]  # ties go to the smaller id
                 out += zip([q] * len(best), ids[best], d[best])
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -131,7 +136,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, tables: int =
     for dim, n in [tuple(r) for r in rows.groupBy("dim").count().collect()]:
         k = max(0, round(math.log2(max(1, n / BUCKET)) / 1.6))
         sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-        fitted[dim] = (k, *fit(np.stack(sample.to_numpy()).astype(np.float64), k, tables, top, recall, seed))
+        sample = np.stack(sample.to_numpy()).astype(np.float64)
+        while not (found := fit(sample, k, tables, top, recall, seed))[2]:
+            k -= 1  # fewer and larger buckets; one bucket reaches all
+        fitted[dim] = (k, *found[:2])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
