@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, pseudo_likelihood, toxicity
+from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, pseudo_likelihood, suffix_family, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
+REPEATS_SQL = """
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM t)
+), d AS (
+  SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY k) > 1
+), g AS (
+  SELECT r, i, coalesce(i - lag(i) OVER w > 200, true) AS fresh FROM d WINDOW w AS (PARTITION BY r ORDER BY i)
+), n AS (
+  SELECT r, i, count(*) FILTER (fresh) OVER (PARTITION BY r ORDER BY i) AS nth FROM g
+), c AS (
+  SELECT r, nth, min(i) AS a, max(i) + 200 AS z FROM n GROUP BY ALL
+), e AS (
+  SELECT *, coalesce(lag(z) OVER w, 0) AS before, row_number() OVER (PARTITION BY r ORDER BY a DESC) = 1 AS last FROM c WINDOW w AS (PARTITION BY r ORDER BY a)
+), k AS (
+  SELECT r, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN last THEN substr(h, 2 * z + 1) ELSE '' END) AS kept
+  FROM e JOIN t USING (r) GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN k USING (r)
+"""
+
+
+@query("op11_suffix_family_dedup", REPEATS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_family.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
