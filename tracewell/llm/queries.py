@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, pseudo_likelihood, suffix_family, toxicity
+from tracewell.llm import bpe, chat, html_consensus, line_dedup, mixing, multi_index, multiprobe, ngram_join, pseudo_likelihood, spelling, suffix_family, toxicity, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +192,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_family.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_block_matrix_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+# words meet by what is left without one code point; only substitutions keep the length
+SPELLING_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps
+), r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), d AS (
+  SELECT doc_id, run, count(*) AS times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM r WHERE length(run) >= 6 GROUP BY ALL
+), b AS (
+  SELECT run, times, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM d
+), c AS (
+  SELECT run, times, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, crc
+), w AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(times) AS BIGINT) AS n
+  FROM c GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5
+), gaps AS (
+  SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, a.n, b.word, b.n FROM gaps a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gaps a JOIN w b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(struct_pack(other, m, n), struct_pack(x := -m, y := other)) AS o FROM near GROUP BY word
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN o.m >= 5 * o.n THEN o.other END AS form, CASE WHEN o.m >= 5 * o.n THEN o.m END AS form_n FROM w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.n, n_near, form, form_n, root FROM f JOIN (SELECT walk.word, root FROM walk JOIN f ON f.word = root WHERE f.form IS NULL) USING (word)
+"""
+
+
+@query("op13_spelling_q_chunks", SPELLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents", "doc_id", "text"))
