@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import saved
 
 #: Numbers in a block; MLlib lists all blocks on the driver, so they are not small.
-BLOCK_NUMBERS = 1 << 19
+BLOCK_NUMBERS = 1 << 17
 COMPONENTS = 8
 #: Eigenvalues below this share of the largest count as none: the vectors do not vary that way.
 FLAT = 1e-12
@@ -103,7 +104,8 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     d = len(sums)
     rows = max(1, BLOCK_NUMBERS // d)
     numbered = _numbered(x, rows)
-    centred = _centred_blocks(numbered, sums, n, rows)
+    # every product reads the blocks; if they are lost with an executor they are read again from the table
+    centred = _centred_blocks(numbered, sums, n, rows).persist(StorageLevel.MEMORY_AND_DISK)
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     values, axes = np.linalg.eigh(_scatter(centred, slices) / n)
