@@ -88,6 +88,20 @@ def test_ngram_join_keeps_links_far_from_the_leader(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_ngram_join_links_behind_two_leaders(spark):
+    """Families whose n-grams have lists cut in two parts: the parts' leaders need not be linked for their sets to be."""
+    g, rows = np.random.default_rng(7), []
+    for f in range(40):
+        core = [f"c{f}x{i}" for i in range(60)]
+        rows += [g.permutation(core)[: int(g.integers(45, 58))].tolist() for _ in range(2)]
+        rows += [core + [f"s{f}x{k}x{i}" for i in range(int(g.integers(2, 18)))] for k in range(2)]
+    sets = [set(r) for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a // 4 * 4, a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = least_reachable(range(len(rows)), links)
+    got = ngram_join.link_documents(texts(spark, [(i, " ".join(r)) for i, r in enumerate(rows)]), n=1, hot=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_mix_targets_and_limits(spark):
     rows = [(i, "w " * (i % 7 * 40), s) for i, s in enumerate(["b"] * 30 + ["a"] * 5 + [None] * 9)] + [(0, None, "b"), (0, None, "b"), (None, "x y", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

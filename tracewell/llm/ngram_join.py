@@ -142,8 +142,8 @@ def _prefixes(docs: DataFrame, counts, n: int, num: int, den: int, hot: int) ->
     return docs.select("text").mapInArrow(emit, "gram bigint, part int, sig bigint, size int, pos int")
 
 
-def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Lists of two sets or more, each row with its leader; ``more`` marks the rows of later leaders, ``three`` lists of three sets or more.
+def _lists(prefixes: DataFrame, num: int, den: int, long: int = 3) -> DataFrame:
+    """Lists of two sets or more, each row with its leader; ``more`` marks the rows of later leaders, ``three`` lists of ``long`` sets or more.
 
     Rows come sorted by gram, part and size and are streamed.  The one list that goes on in the next batch
     is held; parts keep a list at about ``HOT_LIST`` sets.  A part of a hot gram is kept even if it has one set.
@@ -165,7 +165,7 @@ def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
                     reach = i
                 at[i] = reach
             later[starts[k] : ends[k]] = at[starts[k] : ends[k]] != starts[k]
-        three = np.repeat((ends - starts > 2) | (part[starts] >= 0), ends - starts)
+        three = np.repeat((ends - starts >= long) | (part[starts] >= 0), ends - starts)
         cols = [c[keep] for c in (gram, part, sig, size, pos, sig[at], later, three)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names) if keep.any() else None
 
@@ -264,7 +264,8 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, h
 
     lists = saved(_lists(_prefixes(docs, counts, n, num, den, hot), num, den), "lists")
     leaders = lists.where("part >= 0 and sig = leader").select("gram", F.lit(-1).alias("part"), "sig", "size", "pos")
-    lists = lists.union(saved(_lists(leaders, num, den), "leaders"))
+    # a list of two sets has no further pair to look for, but behind two leaders stand the sets of their parts
+    lists = lists.union(saved(_lists(leaders, num, den, long=2), "leaders"))
     texts = _member_texts(docs, reps, lists)
     stars = _verified(texts, saved(lists.where("sig <> leader").select("leader", "sig").distinct(), "stars"), n, num, den, exact=True)
     links = stars.where("linked").select(F.col("leader").alias("a"), F.col("sig").alias("b"))
