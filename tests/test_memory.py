@@ -29,3 +29,11 @@ def test_touches_and_paths(spark):
     assert M.sweep(edges, nodes).count() == 3
     paths = spark.createDataFrame([(1, "a.py", True), (1, "a.py", False), (1, "../x", True), (1, "/etc/y", False)], "s int, p string, e boolean")
     assert [tuple(r) for r in M.session_files(paths, "s", "p", F.col("e")).collect()] == [(1, "a.py", 4)]
+
+
+def test_one_reply_of_a_place(spark):
+    """Replies at one place and a repeated prompt: a row per prompt."""
+    rows = [("s", 1, "assistant", "a"), ("s", 1, "assistant", "b"), ("s", 2, "user", "x"), ("s", 2, "user", "x"), ("s", 0, "user", "first")]
+    items = spark.createDataFrame(rows, "session string, at long, role string, text string")
+    got = M.reply_before(items, "session", "at", F.lit(0))
+    assert sorted((r.at, r.reply or "") for r in got.collect()) == [(0, ""), (2, "b"), (2, "b")]

@@ -51,24 +51,26 @@ def wants_content(cmd: Column) -> Column:
     return F.exists(command_parts(cmd), lambda p: p.rlike(R.CONTENT_COMMAND))
 
 
-def check_command(cmd: Column) -> Column:
-    """The test, build or lint command inside a line, without pipes and redirections."""
+def check_command(cmd: Column, most: int | None = None) -> Column:
+    """The test, build or lint command inside a line (of ``most`` characters, if given), without pipes and redirections."""
     bare = F.regexp_replace(cmd, r"^\s*cd\s+[^&;]+&&\s*", "")
     parts = F.transform(F.split(bare, r"\s*(?:&&|;)\s*"), lambda p: F.trim(F.regexp_replace(p, r"^(?:[A-Z_][A-Z0-9_]*=\S*\s+)+", "")))
     hit = F.get(F.filter(parts, lambda p: p.rlike(R.CHECK_COMMAND)), F.lit(0))
     clean = F.trim(F.regexp_replace(F.regexp_replace(hit, r"\s*\d?>&\d", ""), R.OUTPUT_TRIM, ""))
-    usable = (F.length(cmd) <= 240) & ~cmd.contains("\n") & (clean != "")
+    usable = ~cmd.contains("\n") & (clean != "")
+    if most is not None:
+        usable = usable & (F.length(cmd) <= most)
     return F.when(usable, clean)
 
 
-def doing_command(cmd: Column) -> Column:
-    """What a line changed or verified; null for looking around and heredocs."""
+def doing_command(cmd: Column, most: int | None = None) -> Column:
+    """What a line changed or verified (its first ``most`` characters, if given); null for looking around and heredocs."""
     bare = F.regexp_replace(cmd, r"^\s*cd\s+[^&;]+&&\s*", "")
     parts = F.transform(F.split(bare, r"\s*(?:&&|;)\s*"), lambda p: F.trim(p))
     parts = F.filter(parts, lambda p: (p != "") & ~p.rlike(R.READ_ONLY_COMMAND))
     line = F.regexp_replace(F.regexp_replace(F.array_join(parts, " && "), r"\s*\d?>&\d", ""), R.OUTPUT_TRIM, "")
     script = cmd.contains("\n") | cmd.contains("<<") | cmd.contains("$(cat")
-    return F.when(~script & (F.size(parts) > 0), F.substring(line, 1, 90))
+    return F.when(~script & (F.size(parts) > 0), line if most is None else F.substring(line, 1, most))
 
 
 def without_prose(cmd: Column) -> Column:
@@ -87,6 +89,8 @@ def risky_reason(cmd: Column, rules=R.RISKY_COMMANDS) -> Column:
             F.regexp_replace(F.trim(p), r"^(?:(?:\w+=\S*|sudo|command|exec|nohup|time|xargs|env|-\S+)\s+)+", ""), r"^\S*/(?=(?:rm|git)\s)", ""
         ),
     )
+    # options of git itself, before its command
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"^git(?:\s+(?:-[cC]\s+\S+|--(?:git-dir|work-tree|namespace|exec-path|super-prefix|config-env)\s+\S+|-\S+))+\s+", "git "))
     whole = [F.when(({"raw": cmd, "line": line}[scope]).rlike(p), why) for why, scope, p in rules if scope != "part"]
     by_part = [(why, p) for why, scope, p in rules if scope == "part"]
     per_part = F.transform(parts, lambda s: F.coalesce(*[F.when(s.rlike(p), why) for why, p in by_part]))
@@ -96,7 +100,7 @@ def risky_reason(cmd: Column, rules=R.RISKY_COMMANDS) -> Column:
 def shell_read(cmd: Column) -> Column:
     """struct(file, offset, limit) for a plain print of one file, else null."""
     c = F.trim(cmd)
-    plain = (F.length(c) <= 1000) & ~F.regexp_replace(c, r"'[^']*'", "''").rlike(r"[|;&<>`$(){}\n\\]")
+    plain = ~F.regexp_replace(c, r"'[^']*'", "''").rlike(r"[|;&<>`$(){}\n\\]")
     cat = F.regexp_extract(c, r"^cat\s+(?:--\s+)?(['\"]?)([^\s'\"]+)\1$", 2)
     sed = r"^sed\s+-n\s+(['\"]?)(\d+),(\d+)p\1\s+(['\"]?)([^\s'\"]+)\4$"
     head = r"^head\s+-n\s*(\d+)\s+(['\"]?)([^\s'\"]+)\2$"

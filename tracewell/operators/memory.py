@@ -82,5 +82,6 @@ def reply_before(items: DataFrame, session: str, order: str, bucket: Column) ->
     # a prompt comes before a reply of the same time, so that it does not see it
     placed = with_carried(slim, [session], [order, "__reply"], [last_value("reply_at", F.when(F.col("__reply"), F.col(order)))], bucket)
     prompts = placed.where("role = 'user'").select(session, order, "reply_at")
-    texts = items.where(reply).select(session, F.col(order).alias("reply_at"), F.col("text").alias("reply"))
+    # of several replies at one place the largest text counts
+    texts = items.where(reply).groupBy(session, F.col(order).alias("reply_at")).agg(F.max("text").alias("reply"))
     return prompts.join(texts, [session, "reply_at"], "left")

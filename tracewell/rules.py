@@ -115,7 +115,7 @@ WIDE_TARGET = (
     r"|/(?!tmp(?:/|\s|$)|private/tmp|var/tmp)[^/*\s]+(?:/[^/*\s]+)?/?)[\"']?"
 )
 RISKY_COMMANDS = [
-    ("sql-drop", "raw", r"(?is)\b(psql|mysql|mariadb|sqlite3|sqlcmd|mongosh?|clickhouse(-client)?|cockroach|duckdb)\b.*(\b(drop\s+(table|database|schema)|truncate\s+(table\s+)?\w)|\bdelete\s+from\s+\w+\s*(;|$|[\"'])|dropDatabase\(\))"),
+    ("sql-drop", "raw", r"(?is)^(?=.*\b(psql|mysql|mariadb|sqlite3|sqlcmd|mongosh?|clickhouse(-client)?|cockroach|duckdb)\b).*(\b(drop\s+(table|database|schema)|truncate\s+(table\s+)?\w)|\bdelete\s+from\s+\w+\s*(;|$|[\"'])|dropDatabase\(\))"),
     ("sql-drop", "raw", r"\b(prisma\s+migrate\s+reset|rails\s+db:(drop|reset)|rake\s+db:(drop|reset)|dropdb)\b"),
     ("pipe-to-shell", "line", r"\b(curl|wget)\b[^|;&]*\|\s*(sudo\s+)?(ba|z|da)?sh\b"),
     ("disk-write", "line", r"\bmkfs(\.\w+)?\b|\bdd\b[^;&|]*\bof=/dev/(?!null\b)|>\s*/dev/(sd|disk|nvme)"),

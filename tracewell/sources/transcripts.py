@@ -146,4 +146,4 @@ def read_buffer(spark: SparkSession, path: str, pattern: str = "*.jsonl", sessio
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema(BUFFER + ", torn string")
     rows = reader.option("columnNameOfCorruptRecord", "torn").json(path)
     rows = rows.withColumn("session_id", F.regexp_extract(F.col("_metadata.file_path"), session, 1))
-    return rows.where("torn IS NULL AND t IS NOT NULL").drop("torn"), rows.where("torn IS NOT NULL").select("session_id", "torn")
+    return rows.where("torn IS NULL AND t IS NOT NULL").drop("torn"), rows.where("torn IS NOT NULL").select("session_id", F.coalesce("torn", "t").alias("torn"))  # Spark reads no file for that column alone
