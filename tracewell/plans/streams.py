@@ -102,7 +102,7 @@ def stream_cache_watch(spark, d):
 
 @query(
     "stream_ingest",
-    O.with_(O.REPLIES, "SELECT 'u' || session_id AS session_id, 'm' || msg_id AS msg_id, model, input_tokens, output_tokens, CASE WHEN msg_id % 7 = 0 THEN 2 ELSE 1 END AS n_lines FROM replies"),
+    O.with_(O.REPLIES, "SELECT 'u' || session_id % 50 AS session_id, 'm' || msg_id AS msg_id, model, input_tokens, output_tokens, CASE WHEN msg_id % 7 = 0 THEN 2 ELSE 1 END AS n_lines FROM replies"),
 )
 def stream_ingest(spark, d):
     """A line per reply, a second one in a later part for every seventh; the job runs after each of three parts."""
@@ -111,7 +111,7 @@ def stream_ingest(spark, d):
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     line = F.concat(F.lit('{"type":"assistant","timestamp":"'), at, F.lit('","message":{"id":"m'), "msg_id", F.lit('","model":'), quoted("model"), F.lit(',"content":[],"usage":'), usage, F.lit("}}"))
     copies = F.when(F.col("msg_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    lines = replies.select(F.concat(F.lit("u"), "session_id").alias("session"), F.lit(0).alias("sub"), line.alias("value"), "msg_id", F.explode(copies).alias("copy"))
+    lines = replies.select(F.concat(F.lit("u"), F.col("session_id") % 50).alias("session"), F.lit(0).alias("sub"), line.alias("value"), "msg_id", F.explode(copies).alias("copy"))
     landing, checkpoint, sink = (work_path(spark, x) for x in ("landing", "ingest-state", "ingest-sink"))
     for part in range(PARTS):
         written_lines(lines.where((F.col("msg_id") + F.col("copy")) % PARTS == part).select("session", "sub", "value"), landing)

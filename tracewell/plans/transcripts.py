@@ -103,7 +103,7 @@ def history_items(spark, d):
 
 @query(
     "src_buffer",
-    """SELECT CAST(user_id AS VARCHAR) AS session_id, CASE event_type WHEN 'purchase' THEN 'file' WHEN 'error' THEN 'cmd' ELSE 'read' END AS t, count(*) FILTER (event_id % 11 <> 0) AS n,
+    """SELECT CAST(user_id % 50 AS VARCHAR) AS session_id, CASE event_type WHEN 'purchase' THEN 'file' WHEN 'error' THEN 'cmd' ELSE 'read' END AS t, count(*) FILTER (event_id % 11 <> 0) AS n,
   max(ts) FILTER (event_id % 11 <> 0) AS last_ts, CAST(sum(CASE WHEN event_type = 'purchase' AND event_id % 11 <> 0 THEN 2 ELSE 0 END) AS BIGINT) AS n_keys FROM events GROUP BY ALL HAVING n > 0""",
 )
 def src_buffer(spark, d):
@@ -116,7 +116,7 @@ def src_buffer(spark, d):
     )
     line = F.to_json(event)
     line = F.when(F.col("event_id") % 11 == 0, F.expr("left(line, length(line) div 2)")).otherwise(line)
-    lines = B.events(spark, d).withColumn("line", F.to_json(event)).select(F.col("user_id").alias("session"), F.lit(0).alias("sub"), line.alias("value"))
+    lines = B.events(spark, d).withColumn("line", F.to_json(event)).select((F.col("user_id") % 50).alias("session"), F.lit(0).alias("sub"), line.alias("value"))
     events, _ = T.read_buffer(spark, written_lines(lines), "*.txt", LAYOUT["session"])
     keys = F.coalesce(F.sum(F.when(F.col("keys").isNotNull(), F.size("keys"))), F.lit(0))
     return events.groupBy("session_id", "t").agg(F.count("*").alias("n"), F.max("ts").cast("timestamp_ntz").alias("last_ts"), keys.cast("bigint").alias("n_keys"))
