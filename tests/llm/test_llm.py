@@ -166,6 +166,17 @@ def test_html_consensus_small(spark):
     assert (got[8].text, got[9].text, got[10].text, got[None].text) == ("Tom & Jerry few", "alone", "", "")
 
 
+def test_html_consensus_keeps_lead_and_body(spark):
+    lead, body, links = "The lead says it all. ", "The body goes on at length. ", "".join(f"<a href='/{i}'>another story {i}</a> " for i in range(40))
+    wrapped = f"<main><div class=links>{links}</div><article class='post with-share'><div class=inner><div class=lead><p>{lead * 4}</p></div><div class='text has-comments'><p>{body * 12}</p></div></div><div class=share>tell</div></article></main>"
+    plain = f"<div id=page><div class='entry'><div class=top><p>{lead * 4}</p></div><div class='entry-text'><section><div><p>{body * 12}</p></div></section></div></div></div>"
+    boxed = f"<div class=main><div class=more>{links * 2}</div><div class=post><p>{body * 12}</p></div></div>"
+    rows = [(h * 10 + i, f"http://{h}.example/{i}", f"<body><nav>{links}</nav>{page}<footer>end</footer>") for h, page in enumerate((wrapped, plain, boxed)) for i in range(3)]
+    both, alone = " ".join((lead * 4 + body * 12).split()), " ".join((body * 12).split())
+    got = {r.page_id: r.text for r in html_consensus.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: alone if k >= 20 else both for k, _, _ in rows}
+
+
 def test_bpe_equals_the_library(spark):
     t = bpe._tokenizer(TOKENIZER)
     hard = [(100, "<|endoftext|>x <|startoftext|> y"), (101, "ΣΑΣ İstanbul é ́x it's they'll a1b2 !!! 日本語 👩‍👩‍👧 z\u0085y")]

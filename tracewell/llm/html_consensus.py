@@ -5,6 +5,8 @@
    first, so a host with a third of all pages is no single task.
 2. Each host's winning paths, a few short strings, go to its pages: broadcast if Spark knows the table to
    be small, else joined.
+   What scores best is widened first: where an article's text is spread over a lead and a body, only their
+   common container holds all of it.
 3. A second scan extracts from every page the elements at the winning path that it has; a page that has none
    uses its own best container.
 
@@ -27,6 +29,8 @@ from tracewell.llm.common import saved
 
 #: Votes per page, and winning paths per host.
 VOTES, PATHS = 3, 5
+#: A container with more than this share of link text in what it would add is a list of links, no wider article.
+LINK_SHARE = 0.3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -36,6 +40,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: What a class says an element has or lacks is not what it is.
+_SAID = re.compile(r"(?<![A-Za-z0-9])(?:has|with|without|no)[-_][A-Za-z0-9]+", re.I)
 _DIGITS = re.compile(r"\d+")
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -55,10 +61,10 @@ GOOD = frozenset("content article post entry story main text body".split())
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "first", "last", "never", "good", "box")
+    __slots__ = ("tag", "path", "parent", "first", "last", "never", "good", "box", "link")
 
-    def __init__(self, tag, path, parent, first, never, good, box):
-        self.tag, self.path, self.parent, self.first, self.last, self.never, self.good, self.box = tag, path, parent, first, None, never, good, box
+    def __init__(self, tag, path, parent, first, never, good, box, link=False):
+        self.tag, self.path, self.parent, self.first, self.last, self.never, self.good, self.box, self.link = tag, path, parent, first, None, never, good, box, link
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -70,7 +76,7 @@ def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
             if name == "role":
                 never |= value.strip().lower() in ROLES
                 continue
-            parts = {p.lower() for p in _PART.split(value)}
+            parts = {p.lower() for p in _PART.split(_SAID.sub(" ", value))}
             if tag not in ("html", "body", "article", "main"):
                 never |= bool(parts & ALWAYS) or (bool(parts & MAYBE) and not parts & BODY)
             good |= bool(parts & GOOD)
@@ -79,11 +85,11 @@ def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
     return label, never, good
 
 
-def parse(page: str | None) -> tuple[list[_Element], list[str], list[bool]]:
+def parse(page: str | None) -> tuple[list[_Element], list[str], list[int]]:
     """(elements that can hold text, pieces of text, whether a piece may count).  An element's pieces are those from ``first`` to ``last``."""
     page = page or ""
     pieces: list[str] = []
-    counts: list[bool] = []
+    counts: list[int] = []  # 0: never text, 1: text, 2: text of a link
     root = _Element("", "", None, 0, False, False, None)
     root.box = root
     elements, stack, at = [root], [root], 0
@@ -95,7 +101,7 @@ def parse(page: str | None) -> tuple[list[_Element], list[str], list[bool]]:
 
     def gap() -> None:
         pieces.append(" ")
-        counts.append(not stack[-1].never)
+        counts.append(int(not stack[-1].never))
 
     def find(tags, stops=frozenset()) -> int:
         for i in range(len(stack) - 1, 0, -1):
@@ -110,7 +116,7 @@ def parse(page: str | None) -> tuple[list[_Element], list[str], list[bool]]:
         start = m.start() if m else len(page)
         if start > at:
             pieces.append(page[at:start])
-            counts.append(not stack[-1].never)
+            counts.append(0 if stack[-1].never else 1 + stack[-1].link)
         if not m:
             break
         at = m.end()
@@ -139,7 +145,7 @@ def parse(page: str | None) -> tuple[list[_Element], list[str], list[bool]]:
             continue
         up = stack[-1]
         label, never, good = _label(tag, attrs)
-        e = _Element(tag, up.path, up, len(pieces), up.never or never, good, up.box)
+        e = _Element(tag, up.path, up, len(pieces), up.never or never, good, up.box, up.link or tag == "a")
         if tag not in INLINE and tag != "p":
             tail = up.path.rsplit("#", 1)[0].split(">")[-5:]
             e.path = f"{'>'.join([*tail, label])}#{hash_path(up.path, label)}"
@@ -158,13 +164,13 @@ def hash_path(above: str, label: str) -> str:
     return f"{zlib.crc32(label.encode('utf-8', 'surrogatepass'), zlib.crc32(above.encode('utf-8', 'surrogatepass'))):08x}"
 
 
-def text_of(spans: list[tuple[int, int]], pieces: list[str], counts: list[bool]) -> str:
+def text_of(spans: list[tuple[int, int]], pieces: list[str], counts: list[int]) -> str:
     return " ".join(html.unescape("".join(pieces[i] for a, b in spans for i in range(a, b) if counts[i])).split())
 
 
-def scores(elements: list[_Element], pieces: list[str], counts: list[bool]) -> list[tuple[float, _Element]]:
-    """Containers by score, best first: text right below one counts whole, text of the containers in it by half."""
-    own = {id(e): 0.0 for e in elements}
+def scores(elements: list[_Element], pieces: list[str], counts: list[int]) -> list[tuple[float, _Element]]:
+    """Containers by score, best first: text right below one counts whole, each level of containers further in by half; less by up to nine tenths for its share of link text."""
+    own, links = {id(e): 0.0 for e in elements}, {id(e): 0.0 for e in elements}
     starts = sorted(elements, key=lambda e: e.first)
     open_, k = [], 0
     for i, piece in enumerate(pieces):
@@ -175,12 +181,15 @@ def scores(elements: list[_Element], pieces: list[str], counts: list[bool]) -> l
             open_.pop()
         if counts[i] and open_ and (n := len(piece.strip())):
             own[id(open_[-1])] += n
-    total = dict(own)
+            links[id(open_[-1])] += n * (counts[i] == 2)
+    total, whole = dict(own), dict(own)
     for e in reversed(starts):
         box = e.parent.box if e.parent is not None else None
         if box is not None and id(box) in total:
-            total[id(box)] += own[id(e)] / 2
-    found = [(total[id(e)] * (1.25 if e.good else 1.0), e) for e in elements if total[id(e)] > 0]
+            total[id(box)] += total[id(e)] / 2
+            whole[id(box)] += whole[id(e)]
+            links[id(box)] += links[id(e)]
+    found = [(total[id(e)] * (1 - 0.9 * links[id(e)] / whole[id(e)]) * (1.25 if e.good else 1.0), e) for e in elements if total[id(e)] > 0]
     return sorted(found, key=lambda x: (-x[0], x[1].first))
 
 
@@ -196,7 +205,26 @@ def best_text(page: str | None, paths: list[str] = ()) -> str:
         if spans and (text := text_of(spans, pieces, counts)):
             return text
     found = scores(elements, pieces, counts)
-    return text_of([(found[0][1].first, found[0][1].last)], pieces, counts) if found else ""
+    if not found:
+        return ""
+    best = widened(found[0][1], pieces, counts)
+    return text_of([(best.first, best.last)], pieces, counts)
+
+
+def widened(e: _Element, pieces: list[str], counts: list[int]) -> _Element:
+    """The widest container around ``e`` that looks like content and adds text, not links; an article is wide enough."""
+    best, at = e, e
+    while best.tag not in ("article", "main") and at.parent is not None:
+        at = at.parent
+        if at.box is not at or not at.good:
+            continue
+        size = [0, 0, 0]
+        for i in (*range(at.first, best.first), *range(best.last, at.last)):
+            size[counts[i]] += len(pieces[i].strip())
+        if size[2] > LINK_SHARE * (size[1] + size[2]):
+            break
+        best = at
+    return best
 
 
 def host_of(url: Column) -> Column:
@@ -211,9 +239,10 @@ def vote(pages: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 64):
                 part, rows = batch.slice(k, 64), []
                 for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    found = scores(*parse(page))[:VOTES]
+                    elements, pieces, counts = parse(page)
+                    found = scores(elements, pieces, counts)[:VOTES]
                     whole = sum(s for s, _ in found)
-                    rows += [(host, e.path, s / whole) for s, e in found]
+                    rows += [(host, widened(e, pieces, counts).path, s / whole) for s, e in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.string(), pa.float64()))], ["host", "path", "weight"])
 
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''").mapInArrow(scan, "host string, path string, weight double")
