@@ -54,3 +54,17 @@ def test_rank_and_map(spark):
     assert [r.line for r in shown if r.rel == "src/a.ts"] == [f"  a.ts ({len(FILES[0][1])}b ←1): A, class Main +3\n"]
     whole = code.repo_map(ranked, symbols).collect()
     assert len(whole) == 10
+
+
+def test_searched_symbols(spark):
+    patterns = ["parseLine", r"\bparseLine\b", "function parseLine(", "export async function parseLine\\(a", "^class Parser$", "foo|bar", "abc", "a.*b", "", None, "  const $limit "]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in patterns], "p string").select(code.grep_symbol(F.col("p"))).collect()]
+    assert got == ["parseLine"] * 4 + ["Parser"] + [None] * 5 + ["$limit"]
+
+
+def test_symbol_lookup_takes_the_first_files_of_a_name(spark):
+    symbols = spark.createDataFrame([("p", f"f{i}.ts", "parse()", i) for i in range(9)] + [("p", "f0.ts", "class parse", 50), ("q", "a.ts", "class Parser", 1), ("p", "z.ts", None, 1)], "project string, rel string, symbol string, line long")
+    searches = spark.createDataFrame([("p", r"\bparse\b"), ("p", r"\bparse\b"), ("p", "class Parser"), ("q", "class Parser"), ("q", None)], "project string, pattern string")
+    got = sorted((r.project, r.name, r.nth, r.rel, r.line) for r in code.symbol_lookup(searches, symbols).collect())
+    assert got == [("p", "parse", 1, "f0.ts", 0), ("p", "parse", 2, "f1.ts", 1), ("p", "parse", 3, "f2.ts", 2), ("q", "Parser", 1, "a.ts", 1)]
+    assert code.symbol_lookup(searches, symbols.limit(0)).count() == 0

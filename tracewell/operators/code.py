@@ -42,6 +42,10 @@ ENTRY_FILE = r"(?i)(^|/)(readme|index|main|app|server|cli)\."
 IMPORTED, DECLARED, NEW, ENTRY = 3.0, 0.5, 2.0, 3.0
 MAP_TOKENS, MAP_SYMBOLS = 1500, 12
 
+SEARCHED = r"^(?:(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|var|def|fn|func|struct|trait)\s+)?([A-Za-z_$][\w$]{3,})$"
+KIND_WORD = r"^(class|interface|type|enum|struct|trait|record)\s+"
+PLACES = 3
+
 
 def language(rel: Column) -> Column:
     """Language of a file by its extension, or null."""
@@ -156,3 +160,28 @@ def repo_map(ranked: DataFrame, symbols: DataFrame, tokens: int = MAP_TOKENS, mo
     heads = ranked.groupBy("project").agg(heading.alias("line")).select("project", none.alias("rel"), none.alias("folder"), F.lit(0).cast("bigint").alias("rank"), "line")
     costed = rows.unionByName(heads).withColumn("tokens", token_estimate(F.col("line")))
     return budget_skip(costed, ["project"], "rank", "tokens", tokens)
+
+
+def grep_symbol(pattern: Column) -> Column:
+    """The one identifier a search pattern is after, with or without the word that declares it; else null."""
+    p = F.regexp_replace(F.trim(pattern), r"\\?\(.*$", "")
+    for mark in (r"^\\b|\\b$", r"^\^|\$$"):
+        p = F.regexp_replace(p, mark, "")
+    return F.nullif(F.regexp_extract(p, SEARCHED, 1), F.lit(""))
+
+
+def bare_name(symbol: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(symbol, r"\(\)$", ""), KIND_WORD, "")
+
+
+def symbol_lookup(searches: DataFrame, symbols: DataFrame, most: int = PLACES) -> DataFrame:
+    """(project, pattern, name, nth, rel, line): where the identifier that a search is after is declared.
+
+    ``searches``: project, pattern; those that are after no single identifier have no rows, repeated ones
+    have theirs once.  ``symbols``: rows of ``extract_symbols``.  The first ``most`` files in order of their
+    paths; they are chosen once per name, so a name that every file declares is no long list.
+    """
+    asked = searches.select("project", "pattern", grep_symbol(F.col("pattern")).alias("name")).where("name IS NOT NULL").distinct()
+    places = symbols.groupBy("project", bare_name(F.col("symbol")).alias("name"), "rel").agg(F.min("line").alias("line"))
+    nth = F.row_number().over(W.partitionBy("project", "name").orderBy("rel"))
+    return asked.join(places.withColumn("nth", nth).where(F.col("nth") <= most), ["project", "name"]).select("project", "pattern", "name", "nth", "rel", "line")

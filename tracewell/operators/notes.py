@@ -1,14 +1,17 @@
-"""Keywords and notes of texts, and the notes and files of a project that come first."""
+"""Keywords and notes of texts, the notes and files of a project that come first, notes that name a file, recall by keywords, briefs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.operators.search import STOP
+from tracewell.functions.text import jaccard, token_estimate, words
+from tracewell.operators.history import ago
+from tracewell.operators.search import STOP, term_counts
 from tracewell.operators.upkeep import HALF_LIFE_DAYS, decay_score
 
 # --- fixed values ---
@@ -17,6 +20,13 @@ KEYWORDS = r"[a-z][a-z0-9-]{3,}"
 NOTE = r"(?i)\b(root cause|the fix|fixed by|fixed it|decided|decision|we chose|chose to|because|note that|important|gotcha|workaround|caveat|todo|must not|never|always|convention)\b"
 NARRATION = r"(?i)^(let me|i'll|i will|now i|next,? i)"
 KEYWORDS_SHOWN, NOTES_KEPT, FIRST_NOTES, HOT_FILES = 5, 3, 12, 12
+NOTE_KINDS = ["decision", "cause", "preference", "rule", "fix"]
+GENERIC = ["src", "lib", "app", "test", "tests", "dist", "build", "index", "main", "utils", "common"]
+NEEDLE_CHARS, FILE_NOTES = 5, 2
+RECALL_KEYWORDS, RECALLED, RECALL_LEAST = 8, 6, 1.5
+BRIEF_TOKENS, BRIEF_FILES, RECENT_SESSIONS = 700, 10, 5
+#: Characters of a name that are joined with the beginnings of a note's words.
+KEY_CHARS = 8
 
 
 def keywords(df: DataFrame, key: str, text: str = "text", k: int = KEYWORDS_SHOWN, stop: Sequence[str] = STOP) -> DataFrame:
@@ -51,3 +61,108 @@ def hot_files(nodes: DataFrame, most: int = HOT_FILES) -> DataFrame:
     first = W.partitionBy("project").orderBy(F.col("touches").desc(), F.col("updated").desc(), "id")
     files = nodes.where("type = 'file' AND touches > 0").select("project", "id", "label", "touches", "updated")
     return files.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+
+
+def file_needles(path: Column) -> Column:
+    """Lower-case names that stand for a file in prose: its name, its name without ending, its folder."""
+    rel = F.lower(F.ltrim(F.translate(path, "\\", "/")))
+    base = F.substring_index(rel, "/", -1)
+    stem = F.regexp_replace(base, r"\.[^.]+$", "")
+    folder = F.when(F.contains(rel, F.lit("/")), F.substring_index(F.substring_index(rel, "/", -2), "/", 1)).otherwise("")
+    special = lambda c: (F.char_length(c) >= NEEDLE_CHARS) & ~c.isin(*GENERIC)
+    names = F.array(base, F.when(special(stem), stem), F.when(special(folder), F.concat(folder, F.lit("/"))))
+    return F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))
+
+
+def notes_for_file(files: DataFrame, nodes: DataFrame, shown: DataFrame | None = None, most: int = FILE_NOTES, kinds: Sequence[str] = NOTE_KINDS) -> DataFrame:
+    """(project, path, rank, id): the newest notes of a project that name a file which is about to be edited.
+
+    ``files``: project, path; ``nodes``: the memory graph, of which pinned notes and those of ``kinds`` count;
+    ``shown``: (project, id), what has been shown since the last compaction.  A name counts where a word
+    starts.  Names meet notes by the first characters of each word start, once per distinct name, and a name
+    keeps its newest ``most`` notes before files are joined: no file with a common name gathers more.
+    """
+    named = files.select("project", "path", F.explode(file_needles(F.col("path"))).alias("needle")).distinct()
+    notes = nodes.where((F.col("type") == "note") & (F.col("pinned") | F.col("kind").isin(*kinds)))
+    if shown is not None:
+        notes = notes.join(shown, ["project", "id"], "left_anti")
+    low = notes.select("project", "id", "updated", F.lower("label").alias("label"))
+    starts = F.regexp_extract_all("label", F.lit(rf"(?s)(?<![a-z0-9_])(?=(.{{1,{KEY_CHARS}}}))"), F.lit(1))
+    heads = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda n: F.substring(s, F.lit(1), n))))
+    heads = low.select("project", "id", F.explode(F.array_distinct(heads)).alias("head"))
+    needles = named.select("project", "needle", F.substring("needle", 1, KEY_CHARS).alias("head")).distinct()
+    met = needles.join(heads, ["project", "head"]).join(low, ["project", "id"])
+    escaped = F.regexp_replace("needle", r"([\\.*+?^${}()|\[\]])", r"\\$1")
+    met = met.where(F.regexp_like("label", F.concat(F.lit("(^|[^a-z0-9_])"), escaped)))
+    newest = [F.col("updated").desc(), F.col("id")]
+    best = met.withColumn("nth", F.row_number().over(W.partitionBy("project", "needle").orderBy(*newest))).where(F.col("nth") <= most)
+    of = named.join(best.select("project", "needle", "id", "updated"), ["project", "needle"]).select("project", "path", "id", "updated").distinct()
+    return of.withColumn("rank", F.row_number().over(W.partitionBy("project", "path").orderBy(*newest))).where(F.col("rank") <= most).select("project", "path", "rank", "id")
+
+
+def keyword_recall(prompts: DataFrame, nodes: DataFrame, as_of: Column, most: int = RECALLED, least: float = RECALL_LEAST, half_life: float = HALF_LIFE_DAYS, stop: Sequence[str] = STOP) -> DataFrame:
+    """(query_id, rank, id, relevance, score): the nodes of a prompt's project that its keywords speak of.
+
+    ``prompts``: query_id, project, text; ``nodes``: the memory graph, with its label, outcome and prompts in
+    ``hay``.  A node has a point for each of the prompt's keywords inside its text, one more if it is a topic
+    of that name, and two times the similarity of their words; from ``least`` on it counts, more so the
+    higher its own score.  Ties to the smaller id.
+    """
+    words_ = keywords(prompts, "query_id", k=RECALL_KEYWORDS, stop=stop).select("query_id", "word", F.lower("word").alias("term"))
+    asked = words_.join(prompts.select("query_id", "project"), "query_id")
+    pool = nodes.where("type <> 'project'")
+    hits = term_counts(pool, "id", "hay", asked.select("term").distinct()).select("id", "term")
+    hits = hits.join(pool.select("id", "project", "type", "label"), "id").join(asked, ["project", "term"])
+    # a word that is a keyword both as written and in lower case has a point each
+    points = F.count("*") + F.max(((F.col("type") == "topic") & (F.col("label") == F.col("word"))).cast("int"))
+    scored = hits.groupBy("query_id", "id").agg(points.alias("points"))
+    said = words_.groupBy("query_id").agg(words(F.array_join(F.collect_list("word"), " ")).alias("said"))
+    own = pool.select("id", words(F.col("hay")).alias("own"), decay_score(as_of, half_life).alias("worth"))
+    rel = F.col("points") + 2 * jaccard(F.col("said"), F.col("own"))
+    found = scored.join(said, "query_id").join(own, "id").withColumn("relevance", rel).where(F.col("relevance") >= least)
+    found = found.withColumn("score", F.round(F.col("relevance") * (1 + F.col("worth")), 6))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "id", F.round("relevance", 6).alias("relevance"), "score")
+
+
+def session_brief(nodes: DataFrame, as_of: Column, tokens: int = BRIEF_TOKENS, half_life: float = HALF_LIFE_DAYS) -> DataFrame:
+    """(project, place, section, line, used): what a session of a project starts with, under a budget.
+
+    A heading, the last session, up to 12 notes (pinned ones first, then by score), the 10 files with the
+    best scores and five more sessions.  A line that does not fit ends its section; later ones may still
+    fit.  Projects without a session, digest or note have no brief.  ``outcome`` is a column of ``nodes``;
+    only the lines that can be shown, at most 23 a project, are brought together.
+    """
+    worth = nodes.withColumn("score", F.round(decay_score(as_of, half_life), 9))
+    nth = lambda *order: F.row_number().over(W.partitionBy("project").orderBy(*order, "id"))
+    sessions = worth.where("type = 'session'").withColumn("n", nth(F.col("updated").desc())).where(F.col("n") <= 1 + RECENT_SESSIONS)
+    notes = worth.where("type = 'note'").withColumn("n", nth(F.col("pinned").desc(), F.col("score").desc())).where(F.col("n") <= FIRST_NOTES)
+    files = worth.where("type = 'file'").withColumn("n", nth(F.col("score").desc())).where(F.col("n") <= BRIEF_FILES)
+    past = F.sum(F.when(F.col("type") == "session", 1).when(F.col("type") == "digest", F.coalesce("sessions", F.lit(0))).otherwise(0))
+    known = nodes.groupBy("project").agg(past.alias("past"), F.count_if(F.col("type").isin("session", "digest", "note")).alias("n")).where("n > 0").drop("n")
+    row = lambda df, place, section, line: df.select("project", F.lit(place).alias("at"), F.lit(section).alias("section"), line.alias("line"), *[(F.col("n") if "n" in df.columns else F.lit(0)).alias("n")])
+    when, lit = ago(as_of, F.col("updated")), F.lit
+    last = sessions.where("n = 1 AND outcome <> ''")
+    parts = [
+        row(known, 0, "head", F.format_string("Memory of %s: %d past session(s). Look here before exploring again, and check against the code.", "project", "past")),
+        row(last, 1, "last", F.concat(lit("Last session ("), when, lit('): "'), "label", lit('"'))),
+        row(last.withColumn("n", lit(2)), 1, "ended", F.concat(lit("  ended with: "), "outcome")),
+        row(notes.select("project").distinct(), 2, "notes_head", lit("Remembered:")),
+        row(notes, 3, "notes", F.concat(lit("- "), "label")),
+        row(files.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "label"))), lambda f: f["label"]), ", ").alias("all")), 4, "files", F.concat(lit("Hot files: "), "all")),
+        row(sessions.where("n = 2").select("project"), 5, "recent_head", lit("Recent sessions:")),
+        row(sessions.where("n > 1"), 6, "recent", F.concat(lit("- "), when, lit(": "), "label")),
+    ]
+    lines = reduce(DataFrame.unionByName, parts).join(known.select("project"), "project", "left_semi")
+    items = F.array_sort(F.collect_list(F.struct("at", "n", "section", "line", (token_estimate(F.col("line")) + 1).alias("cost"))))
+
+    def step(acc, x):
+        listed = x["section"].isin("notes", "recent")
+        fits = (acc["used"] + x["cost"] <= tokens) & ~(listed & F.array_contains(acc["ended"], x["section"]))
+        used = F.when(fits, acc["used"] + x["cost"]).otherwise(acc["used"])
+        taken = F.when(fits, F.concat(acc["taken"], F.array(F.struct(x["section"].alias("section"), x["line"].alias("line"), used.alias("used"))))).otherwise(acc["taken"])
+        return F.struct(used.alias("used"), taken.alias("taken"), F.when(fits, acc["ended"]).otherwise(F.concat(acc["ended"], F.array(x["section"]))).alias("ended"))
+
+    start = F.struct(lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<section:string,line:string,used:bigint>>").alias("taken"), F.array().cast("array<string>").alias("ended"))
+    folded = lines.groupBy("project").agg(F.aggregate(items, start, step)["taken"].alias("taken"))
+    return folded.select("project", F.posexplode("taken").alias("place", "t")).select("project", "place", "t.section", "t.line", "t.used")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metering", "context", "behaviour", "compaction", "search", "memory", "transcripts", "streams", "facts", "upkeep", "code", "recall", "notes"]
+MODULES = ["metering", "context", "behaviour", "compaction", "search", "memory", "transcripts", "streams", "facts", "upkeep", "code", "recall", "notes", "history"]
 
 
 def load_all() -> None:

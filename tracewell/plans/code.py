@@ -113,3 +113,20 @@ def repo_map(spark, d):
     df = files(spark, d)
     symbols = C.extract_symbols(df)
     return C.repo_map(C.repo_rank(df, symbols, C.import_graph(df, C.extract_imports(df))), symbols, 900, 3)
+
+
+# each part's number gives a kind of search; every fourth is after no single name
+@query(
+    "symbol_lookup",
+    f"""WITH {FILES}, {DECLARED}, pat AS (SELECT DISTINCT project, CASE k % 4 WHEN 0 THEN '\\b' || w[1] || '\\b' WHEN 1 THEN 'class ' || w[-1] WHEN 2 THEN 'function a' || k || '(' ELSE 'x.*' || w[1] END AS pattern,
+  CASE k % 4 WHEN 0 THEN w[1] WHEN 1 THEN w[-1] WHEN 2 THEN 'a' || k END AS name FROM files),
+sy AS (SELECT project, rel, regexp_replace(regexp_replace(symbol, '\\(\\)$', ''), '^(class|type) ', '') AS name, min(line) AS line FROM syms GROUP BY ALL),
+pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY project, name ORDER BY rel) AS INTEGER) AS nth FROM sy QUALIFY nth <= 3)
+SELECT project, pattern, name, nth, rel, line FROM pat JOIN pl USING (project, name) WHERE length(name) >= 4""",
+)
+def symbol_lookup(spark, d):
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(-1))
+    pattern = F.when(k % 4 == 0, F.concat(F.lit("\\b"), first, F.lit("\\b"))).when(k % 4 == 1, F.concat(F.lit("class "), last)).when(k % 4 == 2, F.concat(F.lit("function a"), key, F.lit("(")))
+    searches = table(spark, d, "part").select(F.concat(F.lit("p"), (k % 3).cast("string")).alias("project"), pattern.otherwise(F.concat(F.lit("x.*"), first)).alias("pattern"))
+    return C.symbol_lookup(searches, C.extract_symbols(files(spark, d)))
