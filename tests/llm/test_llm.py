@@ -202,6 +202,35 @@ def test_pseudo_likelihood_prefers_real_order(spark):
     assert (pseudo_likelihood._hidden(w, flat, at) == pseudo_likelihood._hidden(w, other, at)).all()  # a word does not see itself
 
 
+def test_pseudo_likelihood_step_follows_the_gradient():
+    p = pseudo_likelihood
+    g = np.random.default_rng(3)
+    flat = np.concatenate([[p.GAP] * 2, g.integers(0, p.GAP, 60), [p.GAP] * 2])
+    at = np.arange(2, 62)
+    start = p.first_weights(g.integers(1, 99, p.GAP), 3)
+    # plain softmax over classes and members, place by place
+    w = {k: v.astype(np.float64) for k, v in p.unpack(start).items()}
+    want = []
+    for i in at:
+        h = np.tanh(sum(w["near"][k][flat[i + o]] for k, o in enumerate(p.OFFSETS)))
+        c, m = divmod(flat[i], p.MEMBERS)
+        x, y = h @ w["classes"] + w["class_bias"], h @ w["members"][c] + w["member_bias"][c]
+        want.append(x[c] - np.log(np.exp(x).sum()) + y[m] - np.log(np.exp(y).sum()))
+    assert np.allclose(p.log_probabilities(p.unpack(start), flat, at), want, atol=1e-5)
+    # numeric gradient of the mean loss in some weights of each array
+    own = start.copy()
+    room, sums = p.unpack(np.zeros_like(own)), p.unpack(np.full_like(own, 1e-3))
+    p.train_step(p.unpack(own), room, sums, flat, at)
+    loss = lambda f: -p.log_probabilities(p.unpack(f), flat, at).mean()
+    for name, x in room.items():
+        j = np.unravel_index(np.abs(x).argmax(), x.shape)
+        up, down = start.copy(), start.copy()
+        p.unpack(up)[name][j] += 1e-2
+        p.unpack(down)[name][j] -= 1e-2
+        assert x[j] == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.02, abs=1e-4), name
+    assert loss(own) < loss(start)
+
+
 def test_pseudo_likelihood_of_rare_words(spark):
     numbers = pseudo_likelihood._Numbers([])
     a, b, unseen = [w for i in range(400) if numbers[(w := f"r{i}").encode()] == numbers[b"r0"]][:3]
@@ -209,6 +238,8 @@ def test_pseudo_likelihood_of_rare_words(spark):
     got = {r.doc_id: r for r in pseudo_likelihood.score(docs, pseudo_likelihood.train(docs.where("doc_id < 5"), rounds=1)).collect()}
     assert got[2].log_likelihood - got[4].log_likelihood == pytest.approx(np.log(4))  # seen 4 times and once, in one bucket
     assert got[5].log_likelihood == pytest.approx(got[4].log_likelihood)
+    whole = {r.doc_id: r.log_likelihood for r in pseudo_likelihood.train_and_score(docs, rounds=1).collect()}
+    assert whole == {r.doc_id: r.log_likelihood for r in pseudo_likelihood.score(docs, pseudo_likelihood.train(docs, rounds=1)).collect()}
     assert pseudo_likelihood.STRIDE == 1  # every word is a training target
 
 

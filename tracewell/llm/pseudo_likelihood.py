@@ -7,7 +7,8 @@ its class.  Words beyond the network's vocabulary are predicted as one of ``UNKN
 word's share of its bucket.  The shares stay in a Spark table, a row per distinct word, to which scoring joins
 the words of the documents.  Words are told apart there by 64-bit hashes.
 
-Word counts are taken over all documents.  Training goes over the whole corpus in rounds: every task runs
+Word counts are taken over all documents.  Texts become word numbers once, in a table (``numbered``) that every
+round of training and the scoring read.  Training goes over the whole corpus in rounds: every task runs
 Adagrad on its own documents, on every ``STRIDE``-th word as a target, starting from the common weights, and
 the tasks' weights are averaged by the words they saw.  So what is gathered grows with the corpus, and what
 reaches the driver (one set of weights, one vocabulary, one sum per bucket) does not.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ PART = 1 << 14
 VOCABULARY = MEMBERS * CLASSES - UNKNOWN
 #: Number of the gap beyond a text's ends.
 GAP = MEMBERS * CLASSES
+#: Type of a word's number.
+NUMBER = np.dtype("<i2")
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 SHAPES = {"near": (len(OFFSETS), GAP + 1, WIDTH), "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
@@ -65,18 +69,23 @@ def _hash(word: bytes) -> int:
 
 
 class _Numbers(dict):
-    """Numbers of words; unknown ones get a hashed number and are not remembered for ever."""
+    """Numbers of words; unknown ones get that of a hashed bucket and are not remembered for ever."""
 
     def __init__(self, words: list[str]):
-        super().__init__((w.encode(), i) for i, w in enumerate(words))
-        self.rest: dict[bytes, int] = {}
+        self.known = {w.encode(): i for i, w in enumerate(words)}
+        self.hashes: dict[bytes, int] = {}
+        super().__init__(self.known)
 
     def __missing__(self, word: bytes) -> int:
-        if word not in self.rest:
-            if len(self.rest) > 500_000:
-                self.rest.clear()
-            self.rest[word] = VOCABULARY + _hash(word) % UNKNOWN
-        return self.rest[word]
+        self.hashes[word] = h = _hash(word)
+        self[word] = number = VOCABULARY + h % UNKNOWN
+        return number
+
+    def trim(self, most: int = 500_000) -> None:
+        if len(self.hashes) > most:
+            self.hashes.clear()
+            self.clear()
+            self.update(self.known)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -89,21 +98,20 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def _laid_out(texts: list[str | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word numbers of all texts with gaps around each, places of the words, words per text)."""
-    gap, out, lengths = np.full(WINDOW, GAP, np.int64), [], []
-    for text in texts:
-        words = _words(text)
-        lengths.append(len(words))
-        out += [gap, np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), gap]
-    flat = np.concatenate(out) if out else np.empty(0, np.int64)
-    return flat, np.flatnonzero(flat != GAP), np.array(lengths, np.int64)
+def _numbered(text: str | None, numbers: _Numbers) -> tuple[bytes, list[int], list[int]]:
+    """(word numbers, hashes and counts of the distinct words beyond the vocabulary) of a text."""
+    words = _words(text)
+    ids = np.fromiter(map(numbers.__getitem__, words), NUMBER, len(words))
+    rare = Counter(compress(words, (ids >= VOCABULARY).tolist()))
+    return ids.tobytes(), [numbers.hashes[w] for w in rare], list(rare.values())
 
 
-def _rare(text: str | None, numbers: _Numbers) -> tuple[list[int], list[int]]:
-    """(hashes, counts) of the distinct words of a text that are beyond the vocabulary."""
-    found = Counter(w for w in _words(text) if w not in numbers)
-    return [_hash(w) for w in found], list(found.values())
+def _laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers of all texts with gaps around each, places of the words, words per text)."""
+    gap = np.full(WINDOW, GAP, NUMBER)
+    ids = [np.frombuffer(x.as_buffer(), NUMBER) for x in texts]
+    flat = np.concatenate([y for x in ids for y in (gap, x, gap)]) if ids else np.empty(0, NUMBER)
+    return flat.astype(np.int64), np.flatnonzero(flat != GAP), np.array([len(x) for x in ids], np.int64)
 
 
 def _hidden(w: dict, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -113,49 +121,74 @@ def _hidden(w: dict, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _by_class(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(order of the places by the class of their word, the classes with their places in that order)."""
+    group = (flat[at] // MEMBERS).astype(np.int16)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    return order, [(int(group[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)])]
+
+
+def _scores(w: dict, h: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised scores of the classes, and of the members of each place's class; a column a place."""
+    d = w["classes"].T @ h
+    d += w["class_bias"][:, None]
+    e = np.empty((MEMBERS, h.shape[1]), np.float32)
+    for k, own in spans:
+        np.matmul(w["members"][k].T, h[:, own], out=e[:, own])
+        e[:, own] += w["member_bias"][k][:, None]
+    return d, e
 
 
 def log_probabilities(w: dict, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of every word at the places ``at``, given its neighbours."""
     out = np.empty(len(at), np.float64)
-    for i in range(0, len(at), 1 << 15):
-        own = at[i : i + (1 << 15)]
-        h, target = _hidden(w, flat, own), flat[own]
-        group = target // MEMBERS
-        p = _log_softmax(h @ w["classes"] + w["class_bias"])[np.arange(len(own)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            g = group[rows[0]]
-            p[rows] += _log_softmax(h[rows] @ w["members"][g] + w["member_bias"][g])[np.arange(len(rows)), target[rows] % MEMBERS]
-        out[i : i + len(own)] = p
+    for i in range(0, len(at), 1 << 13):
+        order, spans = _by_class(flat, at[i : i + (1 << 13)])
+        own = at[i + order]
+        target, rows, total = flat[own], np.arange(len(own)), np.zeros(len(own))
+        d, e = _scores(w, np.ascontiguousarray(_hidden(w, flat, own).T), spans)
+        for x, picked in ((d, target // MEMBERS), (e, target % MEMBERS)):
+            x -= x.max(0)
+            total += x[picked, rows]
+            total -= np.log(np.exp(x, out=x).sum(0))
+        out[i + order] = total
     return out
 
 
+def _missed(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Probabilities from scores, less one at the target: the gradient of the scores."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    x[target, np.arange(len(target))] -= 1
+    return x
+
+
 def train_step(w: dict, g: dict, sums: dict, flat: np.ndarray, at: np.ndarray) -> None:
     """One Adagrad step on the targets at ``at``; ``g`` is room for gradients, ``sums`` their squares so far."""
     n = len(at)
-    h, target = _hidden(w, flat, at), flat[at]
-    group, rows = target // MEMBERS, np.arange(n)
-    for x in g.values():
-        x[...] = 0
-    d = np.exp(_log_softmax(h @ w["classes"] + w["class_bias"]))
-    d[rows, group] -= 1
-    g["classes"][:], g["class_bias"][:] = h.T @ d / n, d.sum(0) / n
-    dh = d @ w["classes"].T
-    order = np.argsort(group, kind="stable")
-    for r in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        k = group[r[0]]
-        d = np.exp(_log_softmax(h[r] @ w["members"][k] + w["member_bias"][k]))
-        d[np.arange(len(r)), target[r] % MEMBERS] -= 1
-        g["members"][k], g["member_bias"][k] = h[r].T @ d / n, d.sum(0) / n
-        dh[r] += d @ w["members"][k].T
-    dh *= (1 - h * h) / n
-    for k, o in enumerate(OFFSETS):
-        np.add.at(g["near"][k], flat[at + o], dh)
+    order, spans = _by_class(flat, at)
+    at = at[order]
+    target = flat[at]
+    h = np.ascontiguousarray(_hidden(w, flat, at).T)
+    d, e = _scores(w, h, spans)
+    d, e = _missed(d, target // MEMBERS), _missed(e, target % MEMBERS)
+    dh = w["classes"] @ d
+    g["classes"][:], g["class_bias"][:] = h @ d.T, d.sum(1)
+    g["members"][:], g["member_bias"][:] = 0, 0
+    for k, own in spans:
+        np.matmul(h[:, own], e[:, own].T, out=g["members"][k])
+        g["member_bias"][k] = e[:, own].sum(1)
+        dh[:, own] += w["members"][k] @ e[:, own]
+    dh *= 1 - h * h
+    # the sum of a neighbour's gradients, by offset, word and lane
+    near = np.stack([(flat[at + o] + k * (GAP + 1)) * WIDTH for k, o in enumerate(OFFSETS)])
+    lanes = near[:, None, :] + np.arange(WIDTH)[:, None]
+    g["near"][:] = np.bincount(lanes.ravel(), np.broadcast_to(dh, lanes.shape).ravel(), g["near"].size).reshape(g["near"].shape)
     for name, x in g.items():
+        x /= n
         sums[name] += x * x
         w[name] -= RATE * x / (np.sqrt(sums[name]) + 1e-6)
 
@@ -181,9 +214,9 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, h bigint, n bigint").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 9) -> tuple[list[str], np.ndarray, DataFrame, list[int]]:
-    """(vocabulary, weights, rest, sums) of a network trained on ``docs``: ``rest`` (h, n) counts the words beyond
-    the vocabulary, ``sums`` adds them up by bucket."""
+def count_vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, DataFrame, list[int]]:
+    """(vocabulary, counts by number, rest, sums): ``rest`` (h, n) counts the words beyond the vocabulary, ``sums``
+    adds them up by bucket."""
     counted = saved(count_words(docs), "words")
     top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()
     rest = counted.where("false")
@@ -195,18 +228,39 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int
     counts = np.zeros(GAP)
     counts[: len(top)] = [r.n for r in top]
     counts[VOCABULARY:] = sums
-    vocabulary, flat = [r.word for r in top], first_weights(counts, seed)
-    context = docs.sparkSession.sparkContext
+    return [r.word for r in top], counts, rest, sums
+
+
+def numbered(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(row, doc_id, ids, h, k), written once: the word numbers of each text, two bytes each, and the hashes and
+    counts of its distinct words beyond the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, row = _Numbers(shared.value), TaskContext.get().partitionId() << 33
+        for batch in _slices(batches):
+            ids, h, k = zip(*[_numbered(x, numbers) for x in batch.column("text").to_pylist()])
+            numbers.trim()
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(ids)), pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(h, longs), pa.array(k, longs)], ["row", "doc_id", "ids", "h", "k"])
+            row += len(ids)
+
+    return saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, ids binary, h array<bigint>, k array<bigint>"), "numbered")
+
+
+def fit(table: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 9) -> np.ndarray:
+    """The weights of a network trained on the ids of ``table``."""
+    flat = first_weights(counts, seed)
     for _ in range(rounds):
-        shared = context.broadcast((vocabulary, flat))
+        shared = table.sparkSession.sparkContext.broadcast(flat)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, own = shared.value[0], shared.value[1].copy()
-            numbers, w, seen = _Numbers(words), unpack(own), 0
+            own = shared.value.copy()
+            w, seen = unpack(own), 0
             g, sums = unpack(np.zeros_like(own)), unpack(np.full_like(own, 1e-3))
             phase = 0
             for batch in _slices(batches, 256):
-                text, at, _ = _laid_out(batch.column("text").to_pylist(), numbers)
+                text, at, _ = _laid_out(batch.column("ids"))
                 picked, phase = at[phase::stride], (phase - len(at)) % stride
                 for i in range(0, len(picked), BATCH):
                     train_step(w, g, sums, text, picked[i : i + BATCH])
@@ -222,11 +276,24 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int
                 total, weight = total + seen * np.frombuffer(x, np.float32).astype(np.float64), weight + seen
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
-        learned = docs.select("text").mapInArrow(learn, "part int, task int, seen bigint, weights binary")
+        learned = table.select("ids").mapInArrow(learn, "part int, task int, seen bigint, weights binary")
         means = sorted(learned.groupBy("part").applyInArrow(average, "part int, weights binary").collect())
         if means:
             flat = np.concatenate([np.frombuffer(r.weights, np.float32) for r in means])
-    return vocabulary, flat, rest, sums
+    return flat
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 9) -> tuple[list[str], np.ndarray, DataFrame, list[int]]:
+    """(vocabulary, weights, rest, sums) of a network trained on ``docs``; see ``count_vocabulary``."""
+    vocabulary, counts, rest, sums = count_vocabulary(docs)
+    return vocabulary, fit(numbered(docs, vocabulary), counts, rounds, stride, seed), rest, sums
+
+
+def train_and_score(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 9) -> DataFrame:
+    """``score(docs, train(docs))`` with the texts numbered once."""
+    vocabulary, counts, rest, sums = count_vocabulary(docs)
+    table = numbered(docs, vocabulary)
+    return _scored(table, fit(table, counts, rounds, stride, seed), rest, sums)
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray, DataFrame, list[int]]) -> DataFrame:
@@ -237,23 +304,22 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, DataFrame, list[i
     word that it saw once.
     """
     vocabulary, weights, rest, sums = model
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
+    return _scored(numbered(docs, vocabulary), weights, rest, sums)
+
+
+def _scored(table: DataFrame, weights: np.ndarray, rest: DataFrame, sums: list[int]) -> DataFrame:
+    shared = table.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
-        numbers, w, row = _Numbers(words), unpack(flat), TaskContext.get().partitionId() << 33
+        w = unpack(shared.value)
         for batch in _slices(batches):
-            texts = batch.column("text").to_pylist()
-            text, at, lengths = _laid_out(texts, numbers)
+            text, at, lengths = _laid_out(batch.column("ids"))
             p = log_probabilities(w, text, at)
             sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), p, len(lengths))
-            rare = [_rare(x, numbers) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(texts)), pa.int64()), batch.column("doc_id"), pa.array(lengths), pa.array(sums), pa.array([r[0] for r in rare], pa.list_(pa.int64())), pa.array([r[1] for r in rare], pa.list_(pa.int64()))], ["row", "doc_id", "n_tokens", "sum", "h", "k"])
-            row += len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(lengths), pa.array(sums)], ["row", "doc_id", "n_tokens", "sum"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, sum double, h array<bigint>, k array<bigint>")
-    scored = saved(scored, "scored")
-    rare = scored.select("row", F.inline(F.arrays_zip("h", "k"))).join(rest, "h", "left")
+    scored = table.select("row", "doc_id", "ids").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, sum double")
+    rare = table.select("row", F.inline(F.arrays_zip("h", "k"))).join(rest, "h", "left")
     whole = F.element_at(F.array(*[F.lit(float(n + 1)) for n in sums]), (F.pmod("h", F.lit(UNKNOWN)) + 1).cast("int"))
     share = F.col("k") * F.log(F.coalesce("n", F.lit(1)) / whole)
     rare = rare.groupBy("row").agg(F.sum(share.cast("decimal(28,12)")).cast("double").alias("shares"))  # decimals: one sum in any order

@@ -159,7 +159,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_masked_pseudo_likelihood")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return pseudo_likelihood.train_and_score(docs)
 
 
 REPEATS_SQL = """
