@@ -292,11 +292,15 @@ def tool_call_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(results, ["session_id", "call_id"])
 
 
-def output_by_command(pairs: DataFrame, top: int = 15) -> DataFrame:
-    """Where tool-output tokens go, by command key; ``pairs`` has key, command, chars, shortened, us, call_id."""
+def output_by_command(pairs: DataFrame, top: int = 15, example_chars: int | None = None) -> DataFrame:
+    """Where tool-output tokens go, by command key; ``pairs`` has key, command, chars, shortened, us, call_id.
+
+    The example is a whole command (white space as one space) unless a number of characters is given.
+    """
     tokens = F.floor(F.col("chars") / R.CHARS_PER_REMOVED_TOKEN + 0.5).cast("bigint")
     df = pairs.withColumn("tok", tokens).filter("tok > 0")
-    example = F.substring(F.regexp_replace("command", r"\s+", " "), 1, 100)
+    example = F.regexp_replace("command", r"\s+", " ")
+    example = example if example_chars is None else F.substring(example, 1, example_chars)
     rows = df.groupBy("key").agg(
         F.count("*").alias("runs"),
         F.sum("tok").alias("tokens"),
@@ -314,10 +318,10 @@ def last_check_calls(calls: DataFrame) -> DataFrame:
     return checks.groupBy("session_id").agg(F.max_by(F.struct("call_id", "check", "us"), at).alias("c")).select("session_id", "c.*")
 
 
-def last_check(calls: DataFrame, results: DataFrame, edits: DataFrame, failed: str = R.CHECK_FAILED, passed: str = R.CHECK_PASSED) -> DataFrame:
+def last_check(calls: DataFrame, results: DataFrame, edits: DataFrame, failed: str = R.CHECK_FAILED, passed: str = R.CHECK_PASSED, line_chars: int | None = None) -> DataFrame:
     """Verdict of each session's last check from its output, with the evidence line and edits since.
 
-    Only the last check's output is read line by line.
+    Only the last check's output is read line by line; the line is whole unless a number of characters is given.
     """
     last = last_check_calls(calls)
     out = last.join(results.select("session_id", "call_id", "text", "is_error"), ["session_id", "call_id"])
@@ -328,7 +332,8 @@ def last_check(calls: DataFrame, results: DataFrame, edits: DataFrame, failed: s
     hits = F.filter("lines", failing)
     first = F.coalesce(F.get(hits, F.lit(0)), F.get("lines", F.lit(0)), F.lit(""))
     good = F.coalesce(F.try_element_at(F.filter("lines", lambda s: s.rlike(passed)), F.lit(-1)), F.lit(""))
-    line = F.substring(F.when(F.col("bad"), first).otherwise(good), 1, 150)
+    line = F.when(F.col("bad"), first).otherwise(good)
+    line = line if line_chars is None else F.substring(line, 1, line_chars)
     verdict = F.when(F.col("bad"), "FAILED").when(line != "", "passed").otherwise("no failure output")
     out = out.withColumns({"line": line, "verdict": verdict}).drop("lines", "text", "is_error", "bad")
     since = edits.join(out.select("session_id", F.col("us").alias("c_us")), "session_id").filter(F.col("us") > F.col("c_us"))

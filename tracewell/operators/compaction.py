@@ -25,7 +25,7 @@ def slice_text(text: Column, start: Column, end: Column | None = None) -> Column
 
 def is_numbered_read(text: Column) -> Column:
     """Line-numbered file output, which is never altered."""
-    head = F.slice(F.split(F.substring(text, 1, 600), "\n"), 1, 5)
+    head = F.slice(F.split(text, "\n", 6), 1, 5)
     hits = F.size(F.filter(head, lambda s: s.rlike(R.NUMBERED_LINE)))
     return hits >= F.least(F.lit(3), F.size(head))
 
@@ -249,8 +249,12 @@ def test_lines(
     return src.withColumn("keep", keep).select(key, "framework", "text_chars", "n_lines", "pos", "line", "is_pass", "is_fail", "passes", "keep")
 
 
-def test_summary(lines: DataFrame, key: str) -> DataFrame:
-    """Kept lines joined with counters for what was left out, one row per recognised text."""
+def test_summary(lines: DataFrame, key: str, max_chars: int | None = None) -> DataFrame:
+    """Kept lines joined with counters for what was left out, one row per recognised text.
+
+    All kept lines are shown unless ``max_chars`` is given: then a longer body keeps five sevenths of it from the
+    start and three fourteenths from the end, ``hidden_chars`` says how much lies between, and so does the text.
+    """
     w = W.partitionBy(key).orderBy("pos")
     kept = lines.filter("keep")
     prev = F.lag(F.struct("pos", "passes")).over(w)
@@ -273,17 +277,20 @@ def test_summary(lines: DataFrame, key: str) -> DataFrame:
     )
     rest = F.col("n_lines") - 1 - F.col("last_pos")
     body = F.when(rest > 0, F.concat("body", F.lit("\n  … "), rest.cast("string"), F.lit(" line(s) omitted"))).otherwise(F.col("body"))
-    long = F.concat(F.substring("body", 1, 10_000), F.lit("\n  … [failure details truncated; re-run a single failing test for the rest]\n"), F.expr("right(body, 3000)"))
-    out = out.withColumn("body", body)
-    out = out.withColumn("body", F.when(F.length("body") > R.TEST_MAX_CHARS, long).otherwise(F.col("body")))
-    verdict = F.when(F.col("failures") > 0, "every failure kept in full").otherwise("no failures found")
+    out = out.withColumns({"body": body}).withColumn("hidden_chars", F.lit(0).cast("bigint"))
+    if max_chars is not None:
+        first, last = max_chars * 5 // 7, max_chars * 3 // 14
+        cut = F.length("body") > max_chars
+        hidden = F.when(cut, F.length("body") - (first + last)).otherwise(0).cast("bigint")
+        long = F.concat(F.substring("body", 1, first), F.lit("\n  … "), F.col("hidden_chars").cast("string"), F.lit(" character(s) hidden\n"), F.right("body", F.lit(last)))
+        out = out.withColumn("hidden_chars", hidden).withColumn("body", F.when(F.col("hidden_chars") > 0, long).otherwise(F.col("body")))
     head = F.concat(
-        F.lit("[summarized "), "framework", F.lit(" output: "), verdict, F.lit(", "), (F.col("n_lines") - F.col("kept_lines")).cast("string"),
-        F.lit(" passing/noise lines dropped]\n"),
+        F.lit("["), "framework", F.lit(" output: "), F.col("failures").cast("string"), F.lit(" failing line(s); "), (F.col("n_lines") - F.col("kept_lines")).cast("string"),
+        F.lit(" other line(s) left out]\n"),
     )
     worth = F.length("body") <= F.col("text_chars") * R.TEST_MAX_SHARE
     return out.select(
-        key, "framework", worth.alias("changed"), "failures", "kept_lines", F.col("n_lines").cast("bigint").alias("total_lines"),
+        key, "framework", worth.alias("changed"), "failures", "kept_lines", F.col("n_lines").cast("bigint").alias("total_lines"), "hidden_chars",
         F.when(worth, F.concat(head, "body")).alias("summary"),
     )
 
@@ -422,19 +429,24 @@ def filler_report(df: DataFrame, by: str, text: str = "text") -> DataFrame:
 
 
 def failure_excerpt(df: DataFrame, text: str = "text", failing: str = R.FAILURE_LINE, max_chars: int = R.FAILURE_MAX_CHARS) -> DataFrame:
-    """Add ``excerpt`` (what is wrong, with the indented line after it) and its fingerprint ``fp``."""
+    """Add ``excerpt`` (what is wrong, with the indented line after it, shortened in the middle) and its fingerprint ``fp``.
+
+    The fingerprint is that of all these lines, however many are shown; without any it is that of all lines that
+    are not blank, of which the last 25 are shown.
+    """
     t = F.regexp_replace(F.regexp_replace(F.col(text), R.ANSI, ""), r"\r(?!\n)", "\n")
     df = df.withColumn("__l", F.split(t, "\n"))
     hit = F.filter("__l", lambda s, i: s.rlike(failing) | ((i > 0) & s.rlike(r"^\s+\S") & F.coalesce(F.get(F.col("__l"), i - 1).rlike(failing), F.lit(False))))
     df = df.withColumn("__hit", hit)
     solid = F.filter("__l", lambda s: s.rlike(r"\S"))
     tail = F.slice(solid, F.greatest(F.lit(1), F.size(solid) - 24), F.lit(25))
-    picked = F.when(F.size("__hit") > 0, F.transform("__hit", lambda s: F.rtrim(s))).otherwise(tail)
-    df = df.withColumn("__e", F.array_join(F.array_distinct(picked), "\n"))
+    wrong = F.transform("__hit", lambda s: F.rtrim(s))
+    joined = lambda rest: F.array_join(F.array_distinct(F.when(F.size("__hit") > 0, wrong).otherwise(rest)), "\n")
+    df = df.withColumns({"__e": joined(tail), "__a": joined(solid)})
     long = F.concat(F.substring("__e", 1, int(max_chars * 0.6)), F.lit("\n…\n"), F.expr(f"right(__e, {int(max_chars * 0.35)})"))
     df = df.withColumn("excerpt", F.when(F.length("__e") > max_chars, long).otherwise(F.col("__e")))
-    same = F.regexp_replace(F.regexp_replace("excerpt", r"\d+(\.\d+)?\s*(ms|s)\b", ""), r"\d+", "#")
-    return df.withColumn("fp", F.substring(F.sha1(same), 1, 12)).drop("__l", "__hit", "__e")
+    same = F.regexp_replace(F.regexp_replace("__a", r"\d+(\.\d+)?\s*(ms|s)\b", ""), r"\d+", "#")
+    return df.withColumn("fp", F.substring(F.sha1(same), 1, 12)).drop("__l", "__hit", "__e", "__a")
 
 
 def failure_clusters(df: DataFrame, key: str, **kw) -> DataFrame:

@@ -384,7 +384,7 @@ l AS (SELECT c.*, list_filter(list_transform(string_split(text, chr(10)), lambda
 v AS (SELECT *, is_error OR contains(text, 'that') AS bad, list_filter(ls, lambda s: contains(s, 'that'))[1] AS hit,
   coalesce(list_filter(ls, lambda s: contains(s, 'les'))[-1], '') AS good FROM l),
 w AS (SELECT *, CASE WHEN bad THEN coalesce(hit, ls[1], '') ELSE good END AS full_line FROM v)
-SELECT w.session_id, w.call_id, chk AS "check", w.us, substr(full_line, 1, 150) AS line,
+SELECT w.session_id, w.call_id, chk AS "check", w.us, full_line AS line,
   CASE WHEN bad THEN 'FAILED' WHEN full_line <> '' THEN 'passed' ELSE 'no failure output' END AS verdict,
   (SELECT count(*) FROM calls e WHERE e.session_id = w.session_id AND e.event_type = 'purchase' AND e.us > w.us) AS edits_since FROM w""",
     ),

@@ -104,10 +104,9 @@ o AS (SELECT g.*, CASE WHEN i - p > 1 THEN '  … ' || (i - p - 1) || ' line(s)
     THEN ' (' || (SELECT count(*) FROM m x WHERE x.doc_id = g.doc_id AND x.i > g.p AND x.i < g.i AND x.ok) || ' passing)' ELSE '' END || chr(10) ELSE '' END || line AS part FROM g),
 s AS (SELECT doc_id, any_value(framework) AS framework, any_value(chars) AS chars, any_value(n) AS n, count(*) AS kept, count(*) FILTER (bad) AS failures, max(i) AS last,
   string_agg(part, chr(10) ORDER BY i) AS body FROM o GROUP BY 1),
-t AS (SELECT *, body || CASE WHEN last < n - 1 THEN chr(10) || '  … ' || (n - 1 - last) || ' line(s) omitted' ELSE '' END AS body1 FROM s),
-u AS (SELECT *, CASE WHEN length(body1) > 14000 THEN substr(body1, 1, 10000) || chr(10) || '  … [failure details truncated; re-run a single failing test for the rest]' || chr(10) || right(body1, 3000) ELSE body1 END AS body2 FROM t)
-SELECT doc_id, framework, length(body2) <= chars*0.7 AS changed, failures, kept AS kept_lines, n AS total_lines, CASE WHEN length(body2) <= chars*0.7 THEN '[summarized ' || framework || ' output: '
-  || CASE WHEN failures > 0 THEN 'every failure kept in full' ELSE 'no failures found' END || ', ' || (n - kept) || ' passing/noise lines dropped]' || chr(10) || body2 END AS summary FROM u""",
+t AS (SELECT *, body || CASE WHEN last < n - 1 THEN chr(10) || '  … ' || (n - 1 - last) || ' line(s) omitted' ELSE '' END AS body1 FROM s)
+SELECT doc_id, framework, length(body1) <= chars*0.7 AS changed, failures, kept AS kept_lines, n AS total_lines, 0::BIGINT AS hidden_chars, CASE WHEN length(body1) <= chars*0.7 THEN '[' || framework || ' output: '
+  || failures || ' failing line(s); ' || (n - kept) || ' other line(s) left out]' || chr(10) || body1 END AS summary FROM t""",
 )
 def test_summary(spark, d):
     lines = K.test_lines(
@@ -189,11 +188,12 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 m AS (SELECT *, regexp_matches(line, '{WORDS}') AS bad, lag(regexp_matches(line, '{WORDS}')) OVER (PARTITION BY doc_id ORDER BY i) AS pbad,
   row_number() OVER (PARTITION BY doc_id, trim(line) <> '' ORDER BY i DESC) AS back FROM l),
 h AS (SELECT doc_id, bool_or(bad) AS any_bad FROM m GROUP BY 1),
-p AS (SELECT m.doc_id, CASE WHEN any_bad THEN rtrim(line) ELSE line END AS line, min(i) AS i FROM m JOIN h USING (doc_id)
-  WHERE CASE WHEN any_bad THEN bad OR (coalesce(pbad, false) AND regexp_matches(line, '^\\s+\\S')) ELSE trim(line) <> '' AND back <= 25 END GROUP BY 1, 2),
-e AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS e FROM p GROUP BY 1),
-x AS (SELECT b.doc_id, CASE WHEN length(e) > 1800 THEN substr(e, 1, 1080) || chr(10) || '…' || chr(10) || right(e, 630) ELSE coalesce(e, '') END AS excerpt FROM b LEFT JOIN e USING (doc_id)),
-f AS (SELECT *, substr(sha1(regexp_replace(regexp_replace(excerpt, '[0-9]+(\\.[0-9]+)?\\s*(ms|s)\\b', '', 'g'), '[0-9]+', '#', 'g')), 1, 12) AS fp FROM x)
+q AS (SELECT m.doc_id, CASE WHEN any_bad THEN rtrim(line) ELSE line END AS line, i, any_bad OR back <= 25 AS shown FROM m JOIN h USING (doc_id)
+  WHERE CASE WHEN any_bad THEN bad OR (coalesce(pbad, false) AND regexp_matches(line, '^\\s+\\S')) ELSE trim(line) <> '' END),
+p AS (SELECT doc_id, line, min(i) AS i, min(i) FILTER (shown) AS si FROM q GROUP BY 1, 2),
+e AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS a, string_agg(line, chr(10) ORDER BY si) FILTER (si IS NOT NULL) AS e FROM p GROUP BY 1),
+x AS (SELECT b.doc_id, coalesce(a, '') AS a, CASE WHEN length(e) > 1800 THEN substr(e, 1, 1080) || chr(10) || '…' || chr(10) || right(e, 630) ELSE coalesce(e, '') END AS excerpt FROM b LEFT JOIN e USING (doc_id)),
+f AS (SELECT *, substr(sha1(regexp_replace(regexp_replace(a, '[0-9]+(\\.[0-9]+)?\\s*(ms|s)\\b', '', 'g'), '[0-9]+', '#', 'g')), 1, 12) AS fp FROM x)
 SELECT fp, count(*) AS n, min(doc_id) AS first_id, arg_min(excerpt, doc_id) AS excerpt FROM f GROUP BY fp""",
 )
 def failure_clusters(spark, d):

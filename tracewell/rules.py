@@ -77,9 +77,10 @@ IDLE_MIN_EXTRA_USD = 0.25
 BIG_ITEM_TOKENS = 1500
 
 # --- fixed values: commands ---
-MULTI_WORD_TOOLS = (
-    "npm npx pnpm yarn bun bunx git cargo go docker kubectl gh uv poetry pip pip3 make dotnet mvn gradle terraform"
-).split()
+MULTI_WORD_TOOLS = [
+    "npm", "npx", "pnpm", "yarn", "bun", "bunx", "git", "cargo", "go", "docker", "kubectl", "gh", "uv", "poetry", "pip", "pip3", "make", "dotnet",
+    "mvn", "gradle", "terraform",
+]
 TOOL_RUNNERS = ["run", "exec", "x", "-m"]
 SETUP_WORDS = ["cd", "export", "source", "set", "."]
 LOOKUP_TOOLS = ["Read", "Grep", "Glob"]
@@ -243,14 +244,16 @@ TEST_SUMMARY_LINE = (
 )
 TEST_SUMMARY_HEADER = r"short test summary|^(ok|FAIL)\s"
 BLOCK_SEPARATOR = r"^\s*([⎯─━=_-])\1{9,}"
-TEST_MIN_CHARS, TEST_MAX_CHARS, TEST_MAX_SHARE = 3000, 14_000, 0.7
+TEST_MIN_CHARS, TEST_MAX_SHARE = 3000, 0.7
 TEST_BLOCK_LINES, TEST_BACK_LINES, TEST_TAIL_LINES = 40, 30, 40
 COMPILER_ERROR = r"^(.+?)(?:\(\d+,\d+\): error TS\d+:|:\d+:\d+ - error TS\d+:)"
 COMPILER_MIN_ERRORS = 40
 
 JSON_MIN_CHARS, JSON_MIN_ITEMS, JSON_FULL_ITEMS, JSON_LINES = 12_000, 20, 3, 120
 JSON_OBJECT_SHARE, JSON_MAX_SHARE = 0.9, 0.6
-JSON_IDENTITY = "id number name full_name title login path key sha state status type html_url url label email slug".split()
+JSON_IDENTITY = [
+    "id", "number", "name", "full_name", "title", "login", "path", "key", "sha", "state", "status", "type", "html_url", "url", "label", "email", "slug",
+]
 JSON_KEPT_URLS = ["html_url", "url", "clone_url"]
 
 FILLER_REPLACEMENTS = [
