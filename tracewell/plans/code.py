@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import budget
 from tracewell.operators import code as C
+from tracewell.operators import hints
 from tracewell.plans.registry import query, table
+from tracewell.plans.search import terms_sql
 
 # every tenth file is an index file, every third of the others Python; the rest TypeScript, in seven folders
 FILES = """pw AS (SELECT p_partkey AS k, string_split(p_name, ' ') AS w, p_size, p_retailprice, 'p' || (p_partkey % 3) AS project FROM part),
@@ -130,3 +132,44 @@ def symbol_lookup(spark, d):
     pattern = F.when(k % 4 == 0, F.concat(F.lit("\\b"), first, F.lit("\\b"))).when(k % 4 == 1, F.concat(F.lit("class "), last)).when(k % 4 == 2, F.concat(F.lit("function a"), key, F.lit("(")))
     searches = table(spark, d, "part").select(F.concat(F.lit("p"), (k % 3).cast("string")).alias("project"), pattern.otherwise(F.concat(F.lit("x.*"), first)).alias("pattern"))
     return C.symbol_lookup(searches, C.extract_symbols(files(spark, d)))
+
+
+def ident_sql(x):
+    return f"lower(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./-]+', ' ', 'g'))"
+
+
+# a prompt for each brand's parts of a project: its last part's first word and file, an index, and the next part's function
+@query(
+    "relevant_code",
+    f"""WITH {FILES}, {DECLARED}, {EDGES},
+ask AS (SELECT project, p_brand AS query_id, 'Fix ' || arg_max(w[1], k) || ' of f' || max(k) || ' and the index of a' || max(k) + 1 AS text FROM files JOIN (SELECT p_partkey AS k, p_brand FROM part) USING (k) GROUP BY ALL),
+{terms_sql("qt", "ask", "project, query_id")},
+nm AS (SELECT project, rel, symbol, line, lower(regexp_replace(regexp_replace(symbol, '\\(\\)$', ''), '^(class|type) ', '')) AS name, regexp_replace(regexp_replace(symbol, '\\(\\)$', ''), '^(class|type) ', '') AS bare FROM syms),
+ds AS (SELECT project, rel, NULL AS symbol, NULL::INT AS line, regexp_replace(regexp_extract(rel, '[^/]*$'), '\\.[^.]+$', '') AS name, lower(rel) || ' ' || {ident_sql("rel")} AS t FROM files
+  UNION ALL SELECT project, rel, symbol, line, name, name || ' ' || {ident_sql("bare")} || ' ' || lower(rel) || ' ' || {ident_sql("rel")} FROM nm WHERE length(name) >= 3),
+st AS (SELECT project, count(*) AS total, avg(length(t)) AS mean FROM ds GROUP BY 1),
+te AS (SELECT project, query_id, unnest(terms) AS term FROM qt),
+tf AS (SELECT * FROM (SELECT ds.*, term, least(20, CASE WHEN length(term) > 3 THEN (length(t) - length(replace(t, term, ''))) // length(term) ELSE len(regexp_extract_all(t, '(^|[^a-z0-9])' || term)) END) AS f
+  FROM ds JOIN (SELECT DISTINCT project, term FROM te) USING (project) WHERE contains(t, term)) WHERE f > 0),
+dfs AS (SELECT project, term, count(*) AS df FROM tf GROUP BY ALL),
+qi AS (SELECT te.*, total, mean, ln(1 + (total - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM te JOIN st USING (project) LEFT JOIN dfs USING (project, term)),
+wi AS (SELECT project, query_id, sum(idf) AS idf_sum FROM qi GROUP BY ALL),
+sc AS (SELECT project, query_id, rel, symbol, line, name, sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length(t) / mean))) AS s, count(*) AS matched, sum(idf) AS covered FROM qi JOIN tf USING (project, term) GROUP BY ALL),
+nd AS (SELECT sc.*, covered / idf_sum AS coverage, CASE WHEN symbol IS NULL THEN length(name) >= 4 AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), name) ELSE length(name) >= 5 AND contains(lower(text), name) END AS named
+  FROM sc JOIN wi USING (project, query_id) JOIN ask USING (project, query_id)),
+ga AS (SELECT *, round(s * CASE WHEN named THEN 3 WHEN symbol IS NULL THEN 0.8::DOUBLE ELSE 1 END, 9) AS score FROM nd WHERE named OR (matched >= 2 AND coverage >= 0.3::DOUBLE)),
+pr AS (SELECT project, query_id, rel, max(score) AS score, coalesce(array_to_string((list(symbol || ' L' || line ORDER BY score DESC, line, symbol) FILTER (symbol IS NOT NULL))[1:3], ', '), '') AS symbols FROM ga GROUP BY ALL),
+tn AS (SELECT *, row_number() OVER (PARTITION BY project, query_id ORDER BY score DESC, rel) AS nth FROM pr QUALIFY nth <= 5),
+us AS (SELECT project, rel, array_to_string(list(DISTINCT target ORDER BY target)[1:3], ', ') AS uses FROM edges GROUP BY ALL)
+SELECT project, query_id, CAST(nth AS INTEGER) AS nth, rel, p_size * 100 AS bytes, round(score, 6) AS score, symbols, coalesce(uses, '') AS uses FROM tn JOIN files USING (project, rel) LEFT JOIN us USING (project, rel)""",
+)
+def relevant_code(spark, d):
+    df = files(spark, d)
+    last = F.max_by(F.split_part("p_name", F.lit(" "), F.lit(1)), "p_partkey")
+    key = F.max("p_partkey")
+    text = F.concat(F.lit("Fix "), last, F.lit(" of f"), key.cast("string"), F.lit(" and the index of a"), (key + 1).cast("string"))
+    project = F.concat(F.lit("p"), (F.col("p_partkey") % 3).cast("string")).alias("project")
+    ask = table(spark, d, "part").groupBy(project, F.col("p_brand").alias("query_id")).agg(text.alias("text"))
+    out = hints.relevant_code(ask, df, C.extract_symbols(df), C.import_graph(df, C.extract_imports(df)))
+    names = F.array_join(F.transform("symbols", lambda s: F.concat_ws(" L", s["symbol"], s["line"].cast("string"))), ", ")
+    return out.select("project", "query_id", "nth", "rel", "bytes", F.round("score", 6).alias("score"), names.alias("symbols"), F.array_join("uses", ", ").alias("uses"))

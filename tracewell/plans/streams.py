@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from tracewell.functions import pricing as P
 from tracewell.operators import metering
 from tracewell.plans import behaviour
+from tracewell.plans import facts as fact_plans
 from tracewell.plans import oracle as O
 from tracewell.plans.registry import ORACLES, query, table
 from tracewell.plans.transcripts import LAYOUT, quoted, written_lines
 from tracewell.session import work_path
 from tracewell.sources import bindings as B
-from tracewell.streaming import jobs, stateful
+from tracewell.streaming import facts, jobs, stateful
 
 DONE = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
@@ -151,3 +152,15 @@ def stream_late(spark, d):
         on_time, late = jobs.split_late(jobs.arriving(spark, folder, events.schema), "ts", checkpoint, sink)
     rows = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     return rows.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "late")
+
+
+@query("stream_facts")
+def stream_facts(spark, d):
+    """Facts of conversations whose blocks land in three parts by turn; a session is searched after each 200 characters."""
+    blocks = fact_plans.blocks(spark, d)
+    folder, writes = landed(spark, blocks, "seq")
+    checkpoint, sink = work_path(spark, "facts-state"), work_path(spark, "facts-sink")
+    for write in writes:
+        write()
+        out = facts.capture_facts(jobs.arriving(spark, folder, blocks.schema), checkpoint, sink, fact_plans.RULES, 200, bucket=F.floor(F.col("seq") / 2))
+    return out
