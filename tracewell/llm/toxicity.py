@@ -6,8 +6,9 @@ sentences is toxic and neither is a constant leak, so its score is 1 - (1 - leak
 are chosen by their chi-square against the labels, weights are trained with Adam on the documents' log
 likelihood.  The trained sentences then show where a document offends.
 
-Training uses ``TRAIN_DOCS`` labelled documents at most, those with the smallest hashed ids, and
-``VOCABULARY`` words: both bounds are parameters.  Scoring reads every whole text, in one pass without a shuffle.
+Training uses ``TRAIN_DOCS`` labelled documents at most, those with the smallest hashed ids; the bound is a
+parameter.  Every trait of theirs that passes the threshold takes part, however many there are.  Scoring reads
+every whole text, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, VOCABULARY = 20_000, 512
+TRAIN_DOCS = 20_000
 #: A word takes part if it is in so many documents and its chi-square is significant at 1 in 1000.
 WORD_DOCS, CHI_SQUARE = 5, 10.83
 _SENTENCE, _WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
@@ -93,7 +94,7 @@ def fit_noisy_or(bags: list[list[np.ndarray]], empty: np.ndarray, y: np.ndarray,
     return x[:-2], float(x[-2]), float(x[-1])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """The model: {"weights": {trait: weight}, "bias": ..., "leak": ...}.  Without labels it knows no word and calls nothing toxic."""
     sample = training_sample(docs, labels, train_docs)
 
@@ -126,7 +127,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     n, p = float(whole.n), float(whole.p)
     expected = F.col("n") * p / n
     chi = (F.col("p") - expected) ** 2 / (expected * (1 - F.col("n") / (n + 1.0)) + 1e-9)
-    words = [r.word for r in counted.where("word <> ''").where(chi >= CHI_SQUARE).orderBy(chi.desc(), "word").limit(vocabulary).collect()]
+    # those of a bounded sample that pass, in a fixed order
+    words = [r.word for r in counted.where("word <> ''").where(chi >= CHI_SQUARE).select("word", chi.alias("chi")).orderBy(F.col("chi").desc(), "word").collect()]
     number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
