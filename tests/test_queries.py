@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.harness import compare, duck
 
 SF = "/root/testdata/sf0.01"
-KEYS = ["corpus_grep", "large_reads", "alert_levels", "meter_no_double", "risky_commands", "usage_by_model", "usage_summary", "usage_by_day", "request_cost", "dedupe_replies", "secret_filter", "private_scrub", "hint_adoption", "tool_call_results", "token_estimate", "last_check", "recent_commands", "shell_reads", "asof_reply_before", "blocks_flatten", "stream_late", "facts_extract", "import_graph", "near_dup_notes", "prune_nodes", "task_shift"]
+KEYS = ["corpus_grep", "large_reads", "alert_levels", "meter_no_double", "risky_commands", "usage_by_model", "usage_summary", "usage_by_day", "request_cost", "dedupe_replies", "secret_filter", "private_scrub", "hint_adoption", "tool_call_results", "token_estimate", "last_check", "recent_commands", "shell_reads", "asof_reply_before", "blocks_flatten", "stream_late", "facts_extract", "import_graph", "near_dup_notes", "prune_nodes", "task_shift", "relevant_code", "test_summary", "failure_clusters"]
 
 
 @pytest.mark.parametrize("key", KEYS)
