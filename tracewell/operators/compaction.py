@@ -7,6 +7,8 @@ and runner filters, with windows inside one text.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -288,7 +290,8 @@ def test_summary(lines: DataFrame, key: str, max_chars: int | None = None) -> Da
         F.lit("["), "framework", F.lit(" output: "), F.col("failures").cast("string"), F.lit(" failing line(s); "), (F.col("n_lines") - F.col("kept_lines")).cast("string"),
         F.lit(" other line(s) left out]\n"),
     )
-    worth = F.length("body") <= F.col("text_chars") * R.TEST_MAX_SHARE
+    # an exact product: a body of just the share still counts
+    worth = F.length("body") <= F.col("text_chars") * F.lit(Decimal(str(R.TEST_MAX_SHARE)))
     return out.select(
         key, "framework", worth.alias("changed"), "failures", "kept_lines", F.col("n_lines").cast("bigint").alias("total_lines"), "hidden_chars",
         F.when(worth, F.concat(head, "body")).alias("summary"),
