@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import squash, token_estimate
 from tracewell.operators.search import best_segments, bm25_rank, prompt_segments
 from tracewell.operators.upkeep import days_since
+from tracewell.session import written
 
 # --- fixed values ---
 WHO_WEIGHT = {"you": 1.35, "Claude": 1.0, "tool result": 0.6}
@@ -63,9 +64,14 @@ def history_search(items: DataFrame, queries: DataFrame, as_of: Column, tokens:
     weighed = items.select("item_id", "text", item_weight(as_of, decision=decision).alias("weight"))
     ranked = bm25_rank(weighed, prompt_segments(queries, "query_id"), "item_id", "query_id", weight="weight")
     best = best_segments(ranked, "item_id", "query_id").select("query_id", "item_id", F.round("score", 6).alias("score"), "pos")
-    keyed = best.join(items.select("item_id", "text"), "item_id")
+    best = written(best, "best")
+    # queries share places of a text: each place's excerpt is made once, and a text read once for all its places
+    spots = best.groupBy("item_id").agg(F.collect_set("pos").alias("spots")).join(items.select("item_id", "text"), "item_id")
+    begins = lambda pos: F.struct(pos.alias("pos"), F.substring(excerpt(F.col("text"), pos, chars), 1, KEY_CHARS).alias("key"))
+    spots = spots.select("item_id", F.transform("spots", begins).alias("spots")).select("item_id", F.inline("spots"))
+    keyed = best.join(spots, ["item_id", "pos"])
     first = F.min(F.struct((-F.col("score")).alias("minus"), "item_id", "pos")).alias("b")
-    once = keyed.groupBy("query_id", F.substring(excerpt(F.col("text"), F.col("pos"), chars), 1, KEY_CHARS).alias("key")).agg(first)
+    once = keyed.groupBy("query_id", "key").agg(first)
     place = W.partitionBy("query_id").orderBy("b.minus", "b.item_id")
     top = once.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most)
     shown = top.select("query_id", "rank", "b.item_id", (-F.col("b.minus")).alias("score"), "b.pos").join(items.select("item_id", "session_id", "who", "ts", "text"), "item_id")
