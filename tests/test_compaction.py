@@ -1,7 +1,10 @@
 """Summaries, excerpts and examples of whole texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tracewell.operators import behaviour as H
 from tracewell.operators import compaction as K
 
@@ -51,3 +54,16 @@ def test_examples_and_evidence_are_whole(spark):
     got = H.last_check(calls, results, calls.where("false")).first()
     assert got.line == line and got.verdict == "FAILED"
     assert H.last_check(calls, results, calls.where("false"), line_chars=150).first().line == line[:150]
+
+
+def test_only_texts_of_last_checks_meet_a_result(spark):
+    calls = spark.createDataFrame([(1, i, i, "pytest") for i in range(50)] + [(2, 99, 99, "ls")], "session_id long, call_id long, us long, command string")
+    named = calls.select("session_id", "call_id", F.lit(False).alias("is_error"), (F.col("call_id") % 7).alias("doc_id"))
+    texts = spark.range(7).select(F.col("id").alias("doc_id"), F.concat(F.lit("1 passed in "), "id").alias("text"))
+    got = H.last_check(calls, named, calls.where("false"), texts=texts).collect()
+    assert [(r.session_id, r.call_id, r.line) for r in got] == [(1, 49, "1 passed in 0")]
+    whole = H.last_check(calls, named.join(texts, "doc_id"), calls.where("false")).collect()
+    assert [r.asDict() for r in whole] == [r.asDict() for r in got]
+    # of the query's plan, nothing but the written last checks is joined with texts
+    plan = entry.queries()["last_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"event_id#\d+L? %", plan)

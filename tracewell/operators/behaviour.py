@@ -14,6 +14,7 @@ from tracewell import rules as R
 from tracewell.functions import pricing as P
 from tracewell.functions.commands import check_command, doing_command
 from tracewell.functions.ordered import day_bucket, lag, last_value, running_max, running_sum, with_carried
+from tracewell.session import written
 
 KEY, ORDER = ["session_id"], ["ts", "seq"]
 MINUTE_US = 60_000_000
@@ -318,13 +319,20 @@ def last_check_calls(calls: DataFrame) -> DataFrame:
     return checks.groupBy("session_id").agg(F.max_by(F.struct("call_id", "check", "us"), at).alias("c")).select("session_id", "c.*")
 
 
-def last_check(calls: DataFrame, results: DataFrame, edits: DataFrame, failed: str = R.CHECK_FAILED, passed: str = R.CHECK_PASSED, line_chars: int | None = None) -> DataFrame:
+def last_check(calls: DataFrame, results: DataFrame, edits: DataFrame, failed: str = R.CHECK_FAILED, passed: str = R.CHECK_PASSED, line_chars: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Verdict of each session's last check from its output, with the evidence line and edits since.
 
     Only the last check's output is read line by line; the line is whole unless a number of characters is given.
+    ``results``: session_id, call_id, is_error and text.  Where texts are kept apart, ``texts`` has them, and
+    the other columns that both have name a result's text: then only texts of last checks meet a result.
     """
-    last = last_check_calls(calls)
-    out = last.join(results.select("session_id", "call_id", "text", "is_error"), ["session_id", "call_id"])
+    last = written(last_check_calls(calls), "last")
+    if texts is None:
+        out = last.join(results.select("session_id", "call_id", "text", "is_error"), ["session_id", "call_id"])
+    else:
+        name = [c for c in texts.columns if c != "text"]
+        of = written(last.join(results.select("session_id", "call_id", "is_error", *name), ["session_id", "call_id"]), "of")
+        out = of.join(texts, name).drop(*name)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     failing = lambda s: F.regexp_replace(s, r"(?i)\b0 failed\b", "").rlike(failed)
     bad = F.col("is_error") | failing(F.col("text"))

@@ -392,7 +392,8 @@ SELECT w.session_id, w.call_id, chk AS "check", w.us, full_line AS line,
 def last_check(spark, d):
     calls = B.tool_calls(spark, d)
     edits = calls.filter(F.col("event_type") == "purchase")
-    return H.last_check(calls, B.tool_results(spark, d), edits, failed="that", passed="les")
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    return H.last_check(calls, B.result_names(spark, d), edits, failed="that", passed="les", texts=texts)
 
 
 @query(

@@ -129,17 +129,20 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def result_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of call i is document i modulo the number of documents (``doc_id``); without texts."""
+    n = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
+    return events(spark, sf_dir).select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"), (F.col("k") % 3 == 0).alias("is_error"),
+        (F.col("event_id") % n).alias("doc_id"),
+    )
+
+
 def tool_results(spark: SparkSession, sf_dir: str, *measures) -> DataFrame:
-    """The result of call i is document i modulo the number of documents.
+    """Results with their texts.
 
     ``measures`` (columns over ``text``) are taken before the join, so the texts
     themselves only travel when asked for.
     """
-    docs = table(spark, sf_dir, "documents")
-    n = docs.agg(F.count("*")).scalar()
-    docs = docs.select("doc_id", *(measures or ["text"]))
-    calls = events(spark, sf_dir).select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"), (F.col("k") % 3 == 0).alias("is_error"),
-        (F.col("event_id") % n).alias("doc_id"),
-    )
-    return calls.join(docs, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", *(measures or ["text"]))
+    return result_names(spark, sf_dir).join(docs, "doc_id")
