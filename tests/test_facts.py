@@ -86,3 +86,16 @@ def test_first_similar_by_brute_force(spark):
             kept.append((g, i, ws))
     got = similar.first_similar(spark.createDataFrame(rows, "g int, id long, words array<string>"), ["g"], 0.6)
     assert {x.id: x.first for x in got.collect()} == want
+
+
+def test_similar_pairs_compare_numbers(spark):
+    """Pairs by brute force, of sets numbered by how rare their words are; words themselves join nothing."""
+    r = random.Random(7)
+    rows = {(r.randrange(2), tuple(sorted({f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(1, 9))}))): i for i in range(300)}
+    rows = [(g, i, list(ws)) for (g, ws), i in rows.items()]
+    sets = spark.createDataFrame(rows, "g int, id long, words array<string>")
+    like = lambda x, y: len(x & y) / len(x | y) >= 0.6
+    want = {(g, i, j) for g, i, x in rows for h, j, y in rows if g == h and i < j and like(set(x), set(y))}
+    got = similar.similar_pairs(sets, ["g"], 0.6)
+    assert {tuple(p) for p in got.collect()} == want and want
+    assert "words" not in got._jdf.queryExecution().optimizedPlan().toString()
