@@ -64,6 +64,20 @@ def test_merge_notes(spark):
     assert {tuple(r) for r in left.collect()} == {("a", "t", 3), ("a", "d", 1)}
 
 
+def test_edges_follow_merged_notes_once(spark, monkeypatch):
+    """A note that goes to one which goes in a later round: its edges end at the last, and are written once."""
+    a, b = node("a", "note", 9, label="k l m n o p"), node("b", "note", 8, label="k l m n q")
+    c, d = node("c", "note", 7, label="k l m n q r s"), node("d", "note", 6, label="q r s k l m")
+    steps, real = [], U.written
+    monkeypatch.setattr(U, "written", lambda df, name: (steps.append(name), real(df, name))[1])
+    e = edges(spark, [("a", "t", 1), ("b", "t", 2), ("c", "t", 4), ("d", "t", 8), ("b", "c", 16)])
+    n, left = U.merge_notes(nodes(spark, [a, b, c, d]), e)
+    rounds = steps.count("notes")
+    to = {r.id for r in n.collect()}
+    assert rounds > 1 and steps.count("edges") == 1 and sum(r.w for r in left.collect() if r.b == "t") == 15
+    assert all(x in to or x == "t" for r in left.collect() for x in (r.a, r.b))
+
+
 def test_upsert_twice(spark):
     old = nodes(spark, [node("s1", "session", 5, label="one", weight=2.0, touches=4, prompt_count=1), node("s2", "session", 5)])
     batch = spark.createDataFrame(
