@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tracewell.operators import code
 
 FILES = [
@@ -70,3 +71,11 @@ def test_symbol_lookup_takes_the_first_files_of_a_name(spark):
     got = sorted((r.project, r.name, r.nth, r.rel, r.line) for r in code.symbol_lookup(searches, symbols).collect())
     assert got == [("p", "parse", 1, "f0.ts", 0), ("p", "parse", 2, "f1.ts", 1), ("p", "parse", 3, "f2.ts", 2), ("q", "Parser", 1, "a.ts", 1)]
     assert code.symbol_lookup(searches, symbols.limit(0)).count() == 0
+
+
+def test_map_and_relevant_code_read_written_files_and_symbols(spark):
+    """Texts are put together from lineitem, and symbols found in them, once for each query."""
+    for name in ("repo_map", "relevant_code", "repo_rank"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_suppkey" not in plan, name
+        assert name == "repo_rank" or "interface|struct" not in plan, name

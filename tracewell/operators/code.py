@@ -32,6 +32,8 @@ DECLARATIONS = [
     ("script", r"^(class)\s+([A-Za-z_$][\w$]*)", "", 1, 2),
     (None, r"^\s*(?:public|export)?\s*(?:abstract\s+|final\s+|sealed\s+)*(class|interface|struct|enum|record)\s+([A-Za-z_]\w*)", "", 1, 2),
 ]
+#: A line that fits no rule of any language declares nothing.
+ANY_DECLARATION = "|".join(f"(?:{pattern})" for _, pattern, *_ in DECLARATIONS)
 # --- fixed values: import statements ---
 PYTHON_IMPORT = r"(?m)^\s*from\s+([.\w]+)\s+import|^\s*import\s+([.\w]+)"
 GO_IMPORT, GO_BLOCK = r'(?m)^\s*import\s+(?:\w+\s+)?"([^"]+)"', r"import\s*\(([\s\S]*?)\)"
@@ -75,6 +77,7 @@ def _declared(line: Column, lang: Column) -> Column:
 def extract_symbols(files: DataFrame) -> DataFrame:
     """(project, rel, symbol, line): top-level declarations of ``files`` (project, rel, text), the first line of each."""
     lines = files.select("project", "rel", language(F.col("rel")).alias("lang"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where("lang IS NOT NULL")
+    lines = lines.where(F.col("line").rlike(ANY_DECLARATION))
     found = lines.select("project", "rel", _declared(F.col("line"), F.col("lang")).alias("symbol"), (F.col("at") + 1).alias("line")).where("symbol IS NOT NULL")
     return found.groupBy("project", "rel", "symbol").agg(F.min("line").alias("line"))
 

@@ -7,6 +7,7 @@ from tracewell.operators import code as C
 from tracewell.operators import hints
 from tracewell.plans.registry import query, table
 from tracewell.plans.search import terms_sql
+from tracewell.session import written
 
 # every tenth file is an index file, every third of the others Python; the rest TypeScript, in seven folders
 FILES = """pw AS (SELECT p_partkey AS k, string_split(p_name, ' ') AS w, p_size, p_retailprice, 'p' || (p_partkey % 3) AS project FROM part),
@@ -21,6 +22,7 @@ edges AS (SELECT a.project, a.rel, CASE WHEN t % 5 = 0 THEN '../d' || t % 7 || '
 
 
 def files(spark, d):
+    """Written once: their texts are put together from all of ``lineitem``, and symbols, imports and ranks each read them."""
     p, k = table(spark, d, "part"), F.col("p_partkey")
     python = (k % 10 != 0) & (k % 3 == 1)
     rel = F.concat(F.lit("d"), (k % 7).cast("string"), F.lit("/f"), k.cast("string"), F.when(k % 10 == 0, "/index.ts").when(python, ".py").otherwise(".ts"))
@@ -40,7 +42,13 @@ def files(spark, d):
     ts = say("export async function ", first, "() {\nclass ", last, " {\n  class Inner {}\nexport const ", first, " = 2\nfunction a", key, "() {}\nexport declare type T", key, " = 1\nexport default 3\n")
     text = F.when(python, py).otherwise(say(ts, F.coalesce(F.array_join(F.col("i.s"), "\n"), F.lit(""))))
     df = p.join(imports, "p_partkey", "left").select(F.concat(F.lit("p"), (k % 3).cast("string")).alias("project"), rel.alias("rel"), text.alias("text"), (F.col("p_size") * 100).cast("bigint").alias("bytes"), F.floor("p_retailprice").alias("mtime"))
-    return df
+    return written(df, "files")
+
+
+def corpus(spark, d):
+    """(files, symbols, edges) for what reads symbols more than once."""
+    df = files(spark, d)
+    return df, written(C.extract_symbols(df), "symbols"), C.import_graph(df, C.extract_imports(df))
 
 
 @query("symbols", f"WITH {FILES}, {DECLARED} SELECT * FROM syms")
@@ -112,9 +120,8 @@ c AS (SELECT project AS grp, rank + 1 AS rank, rel, folder, line, CAST(ceil(leng
 SELECT grp AS project, rel, folder, rank - 1 AS rank, line, cost AS tokens FROM g JOIN c USING (grp, rank) WHERE taken""",
 )
 def repo_map(spark, d):
-    df = files(spark, d)
-    symbols = C.extract_symbols(df)
-    return C.repo_map(C.repo_rank(df, symbols, C.import_graph(df, C.extract_imports(df))), symbols, 900, 3)
+    df, symbols, imports = corpus(spark, d)
+    return C.repo_map(C.repo_rank(df, symbols, imports), symbols, 900, 3)
 
 
 # each part's number gives a kind of search; every fourth is after no single name
@@ -164,12 +171,12 @@ us AS (SELECT project, rel, array_to_string(list(DISTINCT target ORDER BY target
 SELECT project, query_id, CAST(nth AS INTEGER) AS nth, rel, p_size * 100 AS bytes, round(score, 6) AS score, symbols, coalesce(uses, '') AS uses FROM tn JOIN files USING (project, rel) LEFT JOIN us USING (project, rel)""",
 )
 def relevant_code(spark, d):
-    df = files(spark, d)
+    df, symbols, imports = corpus(spark, d)
     last = F.max_by(F.split_part("p_name", F.lit(" "), F.lit(1)), "p_partkey")
     key = F.max("p_partkey")
     text = F.concat(F.lit("Fix "), last, F.lit(" of f"), key.cast("string"), F.lit(" and the index of a"), (key + 1).cast("string"))
     project = F.concat(F.lit("p"), (F.col("p_partkey") % 3).cast("string")).alias("project")
     ask = table(spark, d, "part").groupBy(project, F.col("p_brand").alias("query_id")).agg(text.alias("text"))
-    out = hints.relevant_code(ask, df, C.extract_symbols(df), C.import_graph(df, C.extract_imports(df)))
+    out = hints.relevant_code(ask, df, symbols, imports)
     names = F.array_join(F.transform("symbols", lambda s: F.concat_ws(" L", s["symbol"], s["line"].cast("string"))), ", ")
     return out.select("project", "query_id", "nth", "rel", "bytes", F.round("score", 6).alias("score"), names.alias("symbols"), F.array_join("uses", ", ").alias("uses"))
