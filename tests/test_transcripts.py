@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.plans import streams
 from tracewell.sources import transcripts as T
 from tracewell.streaming import jobs, stateful
 
@@ -108,3 +109,38 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
         on_time, late = jobs.split_late(jobs.arriving(spark, f"{tmp_path}/in", df.schema), "ts", f"{tmp_path}/state", f"{tmp_path}/out")
     assert sorted(r.s for r in late.collect()) == [4000, 8000]  # behind 5000 and 9000 by more than ten minutes
     assert sorted((r.s is None, r.s) for r in on_time.collect()) == [(False, 1000), (False, 4500), (False, 5000), (False, 8500), (False, 9000), (True, None)]
+
+
+def test_levels_where_a_mark_is_missing(spark, tmp_path):
+    """A row whose reset mark is null resets nothing."""
+    df = spark.createDataFrame([(1, 1, 100, False), (1, 2, 90, None), (1, 3, 400, None)], "session_id long, seq long, value long, is_boundary boolean").withColumn("ts", F.timestamp_seconds("seq"))
+    df.write.parquet(f"{tmp_path}/in")
+    with stateful.keyed_state(spark):
+        got = jobs.run_available(stateful.alert_levels(jobs.arriving(spark, f"{tmp_path}/in", df.schema), 100), "levels").collect()
+    assert sorted((r.seq, r.level, r["items"], r.total) for r in got) == [(1, 1, 1, 100), (3, 3, 3, 590)]
+
+
+def test_watch_keeps_numbers_whole(spark, tmp_path):
+    """A request without a count beside it does not turn the tokens of others into doubles."""
+    big = 2**53 + 1
+    shape = "conv long, us long, seq long, model string, tools array<string>, system string, msgs array<string>, cache_creation long, cache_1h long, cache_read long"
+    rows = [(1, 1, 1, "a", ["t"], "s", ["m"], None, None, None), (1, 2, 2, "b", ["t"], "s", ["m"], big, None, 0), (1, 3, 3, "b", ["t"], "s", ["n"], big, 0, 0)]
+    df = spark.createDataFrame(rows, shape)
+    df.write.parquet(f"{tmp_path}/in")
+    with stateful.keyed_state(spark):
+        got = jobs.run_available(stateful.cache_watch(jobs.arriving(spark, f"{tmp_path}/in", df.schema)), "watch").collect()
+    assert sorted((r.seq, r.culprit, r.tokens) for r in got) == [(2, "model-switch", big), (3, "history-edited", big)]
+
+
+@pytest.mark.parametrize("n, accuracy", [(1, 10_000), (2, 10_000), (11, 10_000), (2000, 50)])
+def test_thirds_are_exact_and_land_in_several_files(spark, monkeypatch, n, accuracy):
+    """Places of equal and of different values as the exact percentile has them, rounded down to a row."""
+    monkeypatch.setattr(streams, "ACCURACY", accuracy)
+    df = spark.range(n).select((F.col("id") * 37 % 1009 % 700).alias("v")).repartition(4)
+    rows = sorted(r.v for r in df.collect())
+    assert streams.at_shares(df, "v", [1 / 3, 2 / 3]) == [rows[int(s * (n - 1))] for s in (1 / 3, 2 / 3)]
+    folder, writes = streams.landed(spark, df, "v")
+    writes[0]()
+    first = spark.read.parquet(folder)
+    assert sorted(r.v for r in first.collect()) == [v for v in rows if v <= rows[int((n - 1) / 3)]]
+    assert n < 2000 or len(first.inputFiles()) > 1

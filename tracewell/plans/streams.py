@@ -1,5 +1,6 @@
 """Streaming jobs over the event files; the check SQL holds the windows that the watermark has passed."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions import pricing as P
@@ -63,17 +64,33 @@ def stream_dedupe(spark, d):
 # --- jobs that are started again: the input lands in three parts, and the job runs after each ---
 
 PARTS = 3
+#: Approximate percentiles are right to one row in so many.
+ACCURACY = 10_000
+
+
+def at_shares(df, order, shares):
+    """The exact values of ``order`` that have these shares of its rows before them, without any list of all values:
+    only those near each place, as approximate percentiles find them, are counted one by one."""
+    c = F.col(order)
+    margins = [min(max(s + e / ACCURACY, 0.0), 1.0) for s in shares for e in (-4, 4)]
+    n, least, most, near = df.agg(F.count(c), F.min(c), F.max(c), F.percentile_approx(c, margins, ACCURACY)).first()
+    out = []
+    for i, share in enumerate(shares if n else []):
+        low, high = (near[2 * i], near[2 * i + 1]) if n > ACCURACY else (least, most)
+        here = df.where(c <= high).groupBy(F.greatest(c, F.lit(low)).alias("v")).count()
+        upto = F.sum("count").over(W.orderBy("v"))
+        out.append(here.withColumn("upto", upto).where(F.col("upto") > int(share * (n - 1))).agg(F.min("v")).first()[0])
+    return out
 
 
 def landed(spark, df, order):
-    """(folder, [write]): calling a write lands the next third of ``df`` in ``order`` as one file."""
+    """(folder, [write]): calling a write lands the next third of ``df`` in ``order``, a file per task."""
     folder = work_path(spark, "landing")
-    bounds = df.agg(*[F.percentile(F.col(order), F.lit(i / PARTS)).alias(f"b{i}") for i in range(1, PARTS)]).first()
     part = F.lit(0)
-    for b in bounds:
+    for b in at_shares(df, order, [i / PARTS for i in range(1, PARTS)]):
         part = part + (F.col(order) > b).cast("int")
     df = df.withColumn("__part", part)
-    return folder, [lambda i=i: df.where(F.col("__part") == i).drop("__part").coalesce(1).write.mode("append").parquet(folder) for i in range(PARTS)]
+    return folder, [lambda i=i: df.where(F.col("__part") == i).drop("__part").write.mode("append").parquet(folder) for i in range(PARTS)]
 
 
 def in_runs(spark, df, order, name, transform):
