@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.plans import streams
+from tracewell.plans import transcripts as plans
 from tracewell.sources import transcripts as T
 from tracewell.streaming import jobs, stateful
 
@@ -144,3 +145,17 @@ def test_thirds_are_exact_and_land_in_several_files(spark, monkeypatch, n, accur
     first = spark.read.parquet(folder)
     assert sorted(r.v for r in first.collect()) == [v for v in rows if v <= rows[int((n - 1) / 3)]]
     assert n < 2000 or len(first.inputFiles()) > 1
+
+
+def test_files_do_not_grow_with_sessions(spark, tmp_path):
+    """Many sessions in few files, their lines as they were: torn, blank and foreign ones, line ends and quotes in texts."""
+    rows = [(i, t, "user" if t % 2 else "assistant", None if i == 7 and t == 1 else f'say "{t}"\r\nof \t{i}') for i in range(120) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    entries, rejects = plans.transcripts(spark, str(tmp_path))
+    assert len(entries.inputFiles()) <= 16
+    got = {(r.session_id, r.msg_id, r.is_subagent) for r in entries.collect()}
+    assert got == {(str(i), f"c-{i}-{t}", t == 4) for i, t, _, _ in rows}
+    want = [(str(i), k) for i in range(120) for every, k in ((4, "torn"), (3, "blank"), (5, "other")) if i % every == 0]
+    assert sorted((r.session_id, r.line_kind) for r in rejects.collect()) == sorted(want)
+    said = {r.text for r in T.explode_blocks(entries).where("session_id = '8' AND block_type = 'text'").collect()}
+    assert said == {text for i, t, _, text in rows if i == 8 and (t % 3 == 0 or t % 2 == 0)}

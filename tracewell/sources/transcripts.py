@@ -54,6 +54,15 @@ def read_lines(spark: SparkSession, path: str, modified_after: str | None = None
     return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
+def read_collected(spark: SparkSession, path: str, modified_after: str | None = None, pattern: str = "*.json") -> DataFrame:
+    """As ``read_lines``, of transcripts that a collector has put together: each line of ``path`` is an object with
+    the ``line`` as it was and the ``file`` that it is from, so many sessions share a file."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema("file string, line string")
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    return reader.json(path).select(F.col("line").alias("value"), "file", F.col("_metadata.file_modification_time").alias("modified"))
+
+
 def parse_lines(lines: DataFrame, session: str = SESSION_FILE, subagent: str = SUBAGENT_FILE) -> DataFrame:
     """``lines`` (value, file) with session_id, is_subagent, ``line_kind`` (entry, blank, other, torn) and ``json``.
 
@@ -77,9 +86,10 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where("line_kind <> 'entry'").select("session_id", "file", "line_kind", "value")
 
 
-def read_transcripts(spark: SparkSession, path: str, modified_after: str | None = None, pattern: str = "*.jsonl", session: str = SESSION_FILE, subagent: str = SUBAGENT_FILE) -> tuple[DataFrame, DataFrame]:
-    """Entries of all transcripts below ``path``, and the lines that are none."""
-    parsed = parse_lines(read_lines(spark, path, modified_after, pattern), session, subagent)
+def read_transcripts(spark: SparkSession, path: str, modified_after: str | None = None, pattern: str = "*.jsonl", session: str = SESSION_FILE, subagent: str = SUBAGENT_FILE, collected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Entries of all transcripts below ``path``, and the lines that are none; ``collected`` ones by ``read_collected``."""
+    read = read_collected if collected else read_lines
+    parsed = parse_lines(read(spark, path, modified_after, pattern), session, subagent)
     return entries(parsed), rejected(parsed)
 
 
