@@ -105,6 +105,36 @@ def test_ngram_join_links_behind_two_leaders(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_ngram_join_bitmaps_bound_the_difference(spark):
+    g, rows, apart = np.random.default_rng(5), [], []
+    for size, other in [(1, 1), (3, 4), (60, 70), (64, 65), (100, 129), (500, 520), (40, 1000)]:
+        for same in (0, size // 2, size - 1, size):
+            x = g.integers(0, 2**63, other, np.uint64)
+            y = np.unique(np.append(x[:same], g.integers(0, 2**63, size - same, np.uint64)))
+            rows.append([ngram_join._bitmap(z).tolist() for z in (np.unique(x), y)])
+            apart.append((len(np.setxor1d(x, y)), len(x) + len(y)))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<bigint>, b array<bigint>")
+    for i, one, two in df.select("i", ngram_join._apart(df.a, df.b), ngram_join._apart(df.b, df.a)).collect():
+        assert one == two <= apart[i][0] and one % 2 == apart[i][0] % 2
+        assert one > 0.2 * apart[i][1] or apart[i][0] < 0.9 * apart[i][1] or i >= 24  # a small and a large set fold to few bits
+
+
+def test_ngram_join_moves_no_text_of_sets_far_apart(spark, monkeypatch):
+    """Pairs that share nothing but their rarest word, and one linked pair, whose texts alone are verified."""
+    moved, verified = [], ngram_join._verified
+
+    def counted(docs, pairs, *args, **kwargs):
+        moved.append(pairs.count())
+        return verified(docs, pairs, *args, **kwargs)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    rows = [[f"u{i}x{j}" for j in range(30)] + [f"s{i // 2}"] for i in range(40)]
+    rows += [rows[0][:30] + ["t"], sum(rows, []) + [f"f{i}" for i in range(6000)], sum(rows, []) + [f"g{i}" for i in range(6000)]]
+    got = ngram_join.link_documents(texts(spark, [(i, " ".join(r)) for i, r in enumerate(rows)]), n=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(43)} | {40: 0}
+    assert sum(moved) == 1
+
+
 def test_mix_targets_and_limits(spark):
     rows = [(i, "w " * (i % 7 * 40), s) for i, s in enumerate(["b"] * 30 + ["a"] * 5 + [None] * 9)] + [(0, None, "b"), (0, None, "b"), (None, "x y", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

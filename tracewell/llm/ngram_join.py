@@ -1,20 +1,25 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams, by rare-first prefix filtering.
 
-1. One scan gives every document's number of n-grams, a signature of the set, and a sketch: how often the
-   n-grams of each of ``SKETCH`` hash slots occur in the whole corpus.  The sketch has a fixed size (4 MB);
-   it only orders n-grams, rare slots first, and any fixed order gives the same links.
+1. One scan gives every document's number of n-grams, a signature and a parity bitmap of the set, and a
+   sketch: how often the n-grams of each of ``SKETCH`` hash slots occur in the whole corpus.  The sketch has a
+   fixed size (4 MB); it only orders n-grams, rare slots first, and any fixed order gives the same links.
 2. A second scan emits each distinct set's prefix: as many of its rarest n-grams as two linked sets cannot
    avoid sharing.  The prefixes are dealt out by n-gram and sorted by set size.
 3. In each n-gram's list every set is compared with a leader only (the smallest set, then the next one whose
    size the leader cannot reach).  A list whose members are all linked with one leader lies within one
    component and is done.  So a group of copies costs its size, not its square.
-4. A list of three or more sets of which not all are linked with the leader stays open.  In ``ROUNDS`` rounds
-   its sets outside the list's main component are compared with one more set of that component.
+4. A list of three or more sets of which not all are linked with the leader stays open.  In rounds, its sets
+   outside the list's main component are compared with a few more sets of that component (``ROUNDS``).
 5. Then all pairs of an open list's sets that are still in different components are joined under the length,
-   prefix and positional filters and the triangle inequality of the Jaccard distance by way of the leader,
-   and each distinct pair is verified once.
+   prefix, positional and bitmap filters and the triangle inequality of the Jaccard distance by way of the
+   leader, and each distinct pair is verified once.
 
-Verification first applies the suffix filter (a bound from splitting both sorted sets at common pivots),
+Pairs meet the bitmap filter before any text moves: two sets differ in at least as many n-grams as their
+bitmaps differ in bits, so a pair whose bitmaps are too far apart is not linked.  A bitmap has at least a bit
+for each n-gram, a small part of the text.  Only the texts of pairs that are left are read and shuffled, in
+proportion to the near copies and not to the pairs that share a frequent n-gram.
+
+Verification then applies the suffix filter (a bound from splitting both sorted sets at common pivots),
 then intersects the whole sets; with leaders it always intersects, as the triangle inequality needs the
 distance itself and not a bound on it.  N-grams are 64-bit hashes; sets are told apart by a 64-bit signature.
 """
@@ -30,14 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, saved
+from tracewell.llm.common import components, first_k, saved
 
 #: Slots of the frequency sketch, and slots to a row on its way.
 SKETCH, ROW = 1 << 20, 1 << 14
 #: Documents in a slot of the sketch from which an n-gram's list is cut in parts of about as many.
 HOT_LIST = 1 << 16
-#: Partners of one leader to a verifying task's group, and further leaders of open lists.
-GROUP, ROUNDS = 256, 2
+#: Partners of one leader to a verifying task's group, and by round the further leaders of an open list.
+GROUP, ROUNDS = 256, (4, 16)
+#: Bits that mark the documents to be verified (4 MB), and bits to a row on their way.
+MARKS, MARK_ROW = 1 << 25, 1 << 15
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -70,8 +77,28 @@ def _signature(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(grams.tobytes()))))
 
 
-def _as_long(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _bitmap(grams: np.ndarray) -> np.ndarray:
+    """For each of a power of two of slots, whether an odd number of the set's n-grams falls into it; as longs."""
+    slots = max(64, 1 << max(0, len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The number of bits in which two bitmaps differ, the longer one folded: at most the sets' symmetric difference."""
+    n = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        fold = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.sequence(i, F.size(x) - 1, n), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(x, j))))
+        return F.when(F.size(x) == n, x).otherwise(fold)
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _may_link(size_a: Column, bits_a: Column, size_b: Column, bits_b: Column, num: int, den: int) -> Column:
+    """False only if the bitmaps show that the sets' similarity is below num / den."""
+    both = (size_a + size_b).cast("long")
+    return (num + den) * (both - _apart(bits_a, bits_b)) >= 2 * num * both
 
 
 def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -83,8 +110,8 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple
 
 
 def sets_and_sketch(docs: DataFrame, n: int = 5) -> DataFrame:
-    """A row per document (doc_id, sig, size) and, per task, rows of the sketch (slot_row, counts)."""
-    names = ["doc_id", "sig", "size", "slot_row", "counts"]
+    """A row per document (doc_id, sig, size, bits) and, per task, rows of the sketch (slot_row, counts)."""
+    names, longs = ["doc_id", "sig", "size", "bits", "slot_row", "counts"], pa.list_(pa.int64())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = _WordHashes(), np.zeros(SKETCH, np.uint32)
@@ -92,12 +119,12 @@ def sets_and_sketch(docs: DataFrame, n: int = 5) -> DataFrame:
             sets = [ngram_set(x, n, hashes) for x in texts]
             np.add.at(counts, (np.concatenate(sets) >> np.uint64(44)).astype(np.int64), np.uint32(1))
             k = len(sets)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_signature(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_signature(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([_bitmap(x) for x in sets], longs), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(counts.reshape(-1, ROW)) if part.any()]
         k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, longs), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id bigint, sig bigint, size int, slot_row int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id bigint, sig bigint, size int, bits array<bigint>, slot_row int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -202,23 +229,57 @@ def _suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     return _suffix_bound(x[:i], y[:j], depth - 1) + _suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def _member_texts(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
-    """(sig, text) of the sets in ``lists``, so that the documents are joined once."""
-    wanted = saved(lists.select("sig").distinct().join(reps, "sig"), "members")
-    own = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text")
-    return saved(own.join(wanted, "rep").select("sig", "text"), "texts")
+def _near_pairs(pairs: DataFrame, reps: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """The distinct ``pairs`` (leader, sig) that pass the bitmap filter, with the ``rep`` of both; written once."""
+    side = lambda key, x: reps.select(F.col("sig").alias(key), F.col("rep").alias(f"{x}_rep"), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"))
+    both = pairs.distinct().join(side("leader", "a"), "leader").join(side("sig", "b"), "sig")
+    near = both.where(_may_link(F.col("a_size"), F.col("a_bits"), F.col("b_size"), F.col("b_bits"), num, den))
+    return saved(near.select("leader", "sig", "a_rep", "b_rep"), name)
+
+
+def _marked(reps: DataFrame) -> np.ndarray:
+    """A bit for each of ``MARKS`` hash slots that one of ``reps`` (slot) falls into, 4 MB whatever the input."""
+
+    def pack(key, rows):
+        bits = np.zeros(MARK_ROW, np.uint8)
+        bits[rows.column("slot").to_numpy() % MARK_ROW] = 1
+        return pa.table({"mark_row": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+
+    marks = np.zeros((MARKS // MARK_ROW, MARK_ROW // 8), np.uint8)
+    rows = reps.distinct().withColumn("mark_row", F.floor(F.col("slot") / MARK_ROW).cast("long"))
+    for i, part in rows.groupBy("mark_row").applyInArrow(pack, "mark_row bigint, bits binary").collect():
+        marks[i] = np.frombuffer(zlib.decompress(part), np.uint8)
+    return marks.reshape(-1)
+
+
+def _texts_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rep, ...) with the texts of the documents ``rep``; other documents are left out before the shuffle, but for those that share a mark."""
+    slot = F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("slot")
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(wanted.select(slot)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.select(["rep", "text"]).filter(pa.array((marks.value[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0))
+
+    own = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text").select("rep", "text", slot)
+    return own.mapInArrow(keep, "rep bigint, text string").join(wanted, "rep")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int, exact: bool = False) -> DataFrame:
-    """``pairs`` (leader, sig) with the sizes of both sets, their overlap (unless ``exact``, perhaps an upper bound on it) and ``linked``.
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, exact: bool = False) -> DataFrame:
+    """``pairs`` (leader, sig, a_rep, b_rep) with the sizes of both sets, their overlap (unless ``exact``, perhaps an upper bound on it) and ``linked``.
 
     The texts of the partners go to their leader, in groups of about ``GROUP`` partners; the leader's text
     goes to each of these.
     """
-    groups = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    salted = pairs.join(groups, "leader").withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("groups")).cast("int"))
-    wanted = salted.select("leader", "salt", F.lit(1).alias("role"), "sig").union(groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0), "leader"))
-    given = texts.join(wanted, "sig").select("leader", "salt", "role", "sig", "text")
+    schema = "leader bigint, sig bigint, size_a int, size_b int, overlap int, linked boolean"
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    groups = pairs.groupBy("leader", "a_rep").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    salted = pairs.join(groups.drop("a_rep"), "leader").withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("groups")).cast("int"))
+    wanted = salted.select("leader", "salt", F.lit(1).alias("role"), "sig", F.col("b_rep").alias("rep"))
+    wanted = wanted.union(groups.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)), F.lit(0), "leader", "a_rep"))
+    given = _texts_for(docs, saved(wanted, "wanted")).select("leader", "salt", "role", "sig", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, key, first = _WordHashes(), None, None
@@ -241,7 +302,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int, ex
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["leader", "sig", "size_a", "size_b", "overlap", "linked"])
 
     done = given.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role", "sig")
-    return saved(done.mapInArrow(compare, "leader bigint, sig bigint, size_a int, size_b int, overlap int, linked boolean").distinct(), "verified")
+    return saved(done.mapInArrow(compare, schema).distinct(), "verified")
 
 
 def _distance() -> Column:
@@ -260,32 +321,38 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, h
     scanned = saved(sets_and_sketch(docs, n), "sets")
     sets = scanned.where("sig is not null").select("doc_id", "sig", "size")
     counts = spark.sparkContext.broadcast(_sketch(scanned))
-    reps = saved(sets.where("size > 0").groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("rep")), "reps")
+    reps = scanned.where("size > 0").groupBy("sig").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("rep"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    reps = saved(reps, "reps")
 
     lists = saved(_lists(_prefixes(docs, counts, n, num, den, hot), num, den), "lists")
     leaders = lists.where("part >= 0 and sig = leader").select("gram", F.lit(-1).alias("part"), "sig", "size", "pos")
     # a list of two sets has no further pair to look for, but behind two leaders stand the sets of their parts
     lists = lists.union(saved(_lists(leaders, num, den, long=2), "leaders"))
-    texts = _member_texts(docs, reps, lists)
-    stars = _verified(texts, saved(lists.where("sig <> leader").select("leader", "sig").distinct(), "stars"), n, num, den, exact=True)
+    stars = _verified(docs, _near_pairs(lists.where("sig <> leader").select("leader", "sig"), reps, num, den, "stars"), n, num, den, exact=True)
     links = stars.where("linked").select(F.col("leader").alias("a"), F.col("sig").alias("b"))
     member = saved(components(links), "member")
 
     state = lists.where("three").join(stars.select("leader", "sig", "linked", _distance().alias("far")), ["leader", "sig"], "left")
-    state = saved(state.select("gram", "sig", "size", "pos", "leader", F.when(F.col("leader") == F.col("sig"), 0.0).otherwise(F.col("far")).alias("far"), (F.col("more") | ~F.coalesce("linked", F.lit(True))).alias("open")), "state")
+    state = saved(state.select("gram", "sig", "size", "pos", "leader", F.when(F.col("leader") == F.col("sig"), 0.0).otherwise(F.col("far")).alias("far"), (F.col("more") | ((F.col("leader") != F.col("sig")) & ~F.coalesce("linked", F.lit(False)))).alias("open")), "state")
     rows = state.join(state.where("open").select("gram").distinct(), "gram", "left_semi")
     rows = rows.join(member.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
     rows = saved(rows.select("gram", "sig", "size", "pos", "comp", "leader", "far").distinct(), "rows")
-    for k in range(ROUNDS):
-        main = rows.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.min_by(F.struct("sig", "size"), F.xxhash64(F.lit(k), "sig")).alias("by")).groupBy("gram").agg(F.max_by(F.struct("comp", "by"), F.struct("n", "comp")).alias("main"))
-        odd = rows.join(main, "gram").where("comp <> main.comp").select(F.col("main.by.sig").alias("leader"), "sig", F.least("size", "main.by.size").alias("least"), F.greatest("size", "main.by.size").alias("most"))
-        new = _verified(texts, saved(odd.where(den * F.col("least").cast("long") >= num * F.col("most")).select("leader", "sig").distinct(), "round"), n, num, den)
+    for k, leading in enumerate(ROUNDS):
+        main = rows.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        marked = saved(rows.join(main, "gram").select("gram", "sig", "size", (F.col("comp") != F.col("main")).alias("odd")), "marked")
+        inside = marked.where("not odd").join(marked.where("odd").select("gram").distinct(), "gram", "left_semi")
+        by = first_k(inside, "gram", [F.xxhash64(F.lit(k), "sig"), F.col("sig")], leading, "nth").select("gram", F.col("sig").alias("leader"), F.col("size").alias("leader_size"))
+        odd = marked.where("odd").join(by, "gram").select("leader", "sig", F.least("size", "leader_size").alias("least"), F.greatest("size", "leader_size").alias("most"))
+        odd = odd.where(den * F.col("least").cast("long") >= num * F.col("most")).select("leader", "sig")
+        new = _verified(docs, _near_pairs(odd, reps, num, den, "round"), n, num, den)
         member = saved(components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new.where("linked").select("leader", "sig"))), "member")
         now = rows.drop("comp").join(member.withColumnRenamed("node", "sig"), "sig", "left")
         rows = saved(now.select("gram", "sig", "size", "pos", F.coalesce("component", "sig").alias("comp"), "leader", "far"), "rows")
     main = rows.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    odd = rows.join(main, "gram").where("comp <> main")
-    a, b = odd.alias("a"), rows.alias("b")
+    odd = saved(rows.join(main, "gram").where("comp <> main"), "odd")
+    bits = reps.select("sig", "bits")
+    a = odd.join(bits, "sig").alias("a")
+    b = rows.join(odd.select("gram").distinct(), "gram", "left_semi").join(bits, "sig").alias("b")
     larger, smaller = F.greatest("a.size", "b.size").cast("long"), F.least("a.size", "b.size").cast("long")
     both = larger + smaller
     # the smaller set shares the gram within its shorter indexing prefix
@@ -296,12 +363,13 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, h
     pairs = a.join(b, F.col("a.gram") == F.col("b.gram")).where(
         (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("a.main")) | (F.col("a.sig") < F.col("b.sig")))
         & (den * smaller >= num * larger) & (index_pos < index_size) & ((num + den) * most >= num * both) & near
+        & _may_link(F.col("a.size"), F.col("a.bits"), F.col("b.size"), F.col("b.bits"), num, den)
     )
-    pairs = pairs.select(F.least("a.sig", "b.sig").alias("leader"), F.greatest("a.sig", "b.sig").alias("sig")).distinct()
-    more = _verified(texts, saved(pairs, "pairs"), n, num, den).where("linked")
+    pairs = pairs.select(F.least("a.sig", "b.sig").alias("leader"), F.greatest("a.sig", "b.sig").alias("sig"))
+    more = _verified(docs, _near_pairs(pairs, reps, num, den, "pairs"), n, num, den).where("linked")
     member = components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("leader", "sig")))
 
-    groups = reps.join(member.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
+    groups = reps.select("sig", "rep").join(member.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
     least = groups.groupBy("comp").agg(F.min("rep").alias("least"))
     of_set = groups.join(least, "comp").select("sig", F.when(F.col("least") < 2**63 - 1, F.col("least")).alias("least"))
     found = sets.join(of_set, "sig", "left")
