@@ -298,6 +298,17 @@ def test_multiprobe_recall(spark, monkeypatch):
     assert hit >= 0.9 * 300 and 900 not in got and 904 not in got
 
 
+def test_multiprobe_blocks_return_no_more_than_the_own_buckets_leave_open(spark, monkeypatch):
+    monkeypatch.setattr(multiprobe, "BUCKET", 16)
+    returned, nearest = [], multiprobe._nearest
+    monkeypatch.setattr(multiprobe, "_nearest", lambda *args: (returned.append(nearest(*args)), returned[-1])[1])
+    x, df = vectors(spark, n=2000)
+    got = multiprobe.nearest(df, df.where("vec_id % 100 = 0 and vec_id < 900")).collect()
+    far = np.sqrt(((x[:900:100, None].astype(float) - x[None]) ** 2).sum(2))
+    assert len(got) == 90 and sum(r.score <= np.sort(far[r.query_id // 100])[10] for r in got) >= 81
+    assert sum(df.count() for df in returned) < 90 * multiprobe.TABLES * 5
+
+
 def test_multiprobe_repeated_rows(spark):
     rows = [(i, [float(i), 1.0]) for i in range(30)] + [(1, [1.0, 1.0])] * 12 + [(2, [2.0, 1.0 + j / 100]) for j in range(12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

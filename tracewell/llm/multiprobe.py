@@ -4,7 +4,9 @@ Each of ``TABLES`` hash tables puts a vector in a bucket of ``k`` values floor((
 A query visits, in each table, its own bucket and perturbed ones in order of their estimated success: a
 perturbation's cost is the sum of squared distances from the query's projections to the slots it moves to.
 Buckets and the queries that visit them meet in blocks; each block returns its best few by exact distance in
-double precision, and the tables' candidates are merged and ranked.
+double precision, and the tables' candidates are merged and ranked.  The queries' own buckets come first: once
+these give a query enough candidates, its other blocks return only what is no farther than the last of them,
+so that what a query's blocks return does not grow with their number.
 
 ``k`` grows with the logarithm of the number of rows, so that a bucket holds about ``BUCKET`` of them; a
 bucket that is larger is cut in blocks, none of its rows is left out.  ``w`` and the number of probes are
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import finite_vector, first_k, in_blocks
+from tracewell.llm.common import finite_vector, first_k, in_blocks, saved
 
 TABLES, BUCKET, SAMPLE, SAMPLE_QUERIES = 6, 1024, 4096, 200
 #: Rows and queries of one block, and the slots that a probe can move in one direction.
@@ -99,7 +101,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _nearest(rows: DataFrame, probes: DataFrame, keys: list[str], top: int) -> DataFrame:
-    """(query_id, vec_id, score): the ``top`` nearest of each block for each of its queries."""
+    """(query_id, vec_id, score): the ``top`` nearest of each block for each of its queries, none beyond its ``bound`` (null: no bound)."""
     rows, probes = in_blocks(rows, probes, keys, "vec_id", "query_id", ROWS, QUERIES)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -109,13 +111,14 @@ def _nearest(rows: DataFrame, probes: DataFrame, keys: list[str], top: int) -> D
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             repeats = len(np.unique(ids)) < len(ids)
-            for q, v in zip(right["query_id"].to_numpy(), right["v"].to_numpy()):
+            for q, v, bound in zip(right["query_id"].to_numpy(), right["v"].to_numpy(), right["bound"].to_numpy(np.float64, na_value=np.nan)):
                 d = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(1))
                 other = np.flatnonzero(ids != q)
                 if repeats:  # the nearest row of each id
                     other = other[np.lexsort((d[other], ids[other]))]
                     other = other[np.unique(ids[other], return_index=True)[1]]
                 best = other[np.argsort(d[other], kind="stable")[:top]]  # ties go to the smaller id
+                best = best[~(d[best] > bound)]
                 out += zip([q] * len(best), ids[best], d[best])
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -164,17 +167,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, tables: int =
                 for t, p in enumerate(place):
                     to = buckets(np.array(probe_order(p[0], probes)).reshape(-1, k)) if k else np.zeros(1, np.int64)
                     n = len(to)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(to), pa.array(np.full(n, part.column("query_id")[0].as_py(), np.int64)), part.column("v").take(pa.array(np.zeros(n, np.int32)))], ["dim", "t", "bucket", "query_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(to), pa.array(np.full(n, part.column("query_id")[0].as_py(), np.int64)), part.column("v").take(pa.array(np.zeros(n, np.int32))), pa.array(np.arange(n) == 0)], ["dim", "t", "bucket", "query_id", "v", "own"])
 
     kind = rows.schema["v"].dataType.simpleString()
     indexed = rows.mapInArrow(index, f"dim int, t int, bucket bigint, vec_id bigint, v {kind}")
-    probed = asked.mapInArrow(probe, f"dim int, t int, bucket bigint, query_id bigint, v {kind}")
-    found = _merged(_nearest(indexed, probed, ["dim", "t", "bucket"], top), top)
+    probed = saved(asked.mapInArrow(probe, f"dim int, t int, bucket bigint, query_id bigint, v {kind}, own boolean"), "probes")
+    keys, free = ["dim", "t", "bucket"], F.lit(None).cast("double").alias("bound")
+    first = saved(_merged(_nearest(indexed, probed.where("own").select(*keys, "query_id", "v", free), keys, top), top), "first")
+    bounds = first.where(F.col("rank") == top).select("query_id", F.col("score").alias("bound"))
+    others = probed.where("not own").drop("own").join(bounds, "query_id", "left")
+    found = saved(_merged(first.drop("rank").unionByName(_nearest(indexed, others, keys, top)), top), "found")
     # queries with too few candidates
     enough = found.groupBy("query_id").agg(F.count("*").alias("n"))
     sizes = {dim: n for dim, n in [tuple(r) for r in rows.groupBy("dim").agg(F.count_distinct("vec_id")).collect()]}
     want = F.coalesce(*[F.when(F.col("dim") == d, F.lit(min(top, n - 1))) for d, n in sizes.items()], F.lit(0)) if sizes else F.lit(0)
-    short = asked.join(enough, "query_id", "left").where(F.coalesce("n", F.lit(0)) < want).select("dim", "query_id", "v")
+    short = asked.join(enough, "query_id", "left").where(F.coalesce("n", F.lit(0)) < want).select("dim", "query_id", "v", free)
     rest = _merged(_nearest(rows, short, ["dim"], top), top)
     return found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
 
