@@ -261,6 +261,25 @@ def test_pseudo_likelihood_step_follows_the_gradient():
     assert loss(own) < loss(start)
 
 
+def test_pseudo_likelihood_step_leaves_other_words_alone():
+    """Rows of words that are no neighbour in a batch are not written at all, those of the others follow Adagrad."""
+    p = pseudo_likelihood
+    g = np.random.default_rng(4)
+    flat = np.concatenate([[p.GAP] * 2, g.integers(0, 50, 300), [p.GAP] * 2])
+    own = p.first_weights(np.ones(p.GAP), 4)
+    w, room, sums = p.unpack(own), p.unpack(np.zeros_like(own)), p.unpack(np.full_like(own, 1e-3))
+    sums["near"][:, 100:-1] = -1  # has no root
+    with np.errstate(invalid="raise"):
+        for _ in range(2):
+            before, squares = own.copy(), {k: x.copy() for k, x in sums.items()}
+            p.train_step(w, room, sums, flat, np.arange(2, 302))
+            for name, x in room.items():
+                here = slice(None) if name != "near" else (slice(None), [*range(100), p.GAP])
+                s = squares[name][here] + x[here] ** 2
+                assert np.allclose(sums[name][here], s) and np.allclose(w[name][here], p.unpack(before)[name][here] - p.RATE * x[here] / (np.sqrt(s) + 1e-6), atol=1e-6)
+    assert not room["near"][:, 60:-1].any()
+
+
 def test_pseudo_likelihood_of_rare_words(spark):
     numbers = pseudo_likelihood._Numbers([])
     a, b, unseen = [w for i in range(400) if numbers[(w := f"r{i}").encode()] == numbers[b"r0"]][:3]

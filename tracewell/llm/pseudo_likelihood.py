@@ -172,25 +172,49 @@ def train_step(w: dict, g: dict, sums: dict, flat: np.ndarray, at: np.ndarray) -
     order, spans = _by_class(flat, at)
     at = at[order]
     target = flat[at]
-    h = np.ascontiguousarray(_hidden(w, flat, at).T)
-    d, e = _scores(w, h, spans)
-    d, e = _missed(d, target // MEMBERS), _missed(e, target % MEMBERS)
-    dh = w["classes"] @ d
-    g["classes"][:], g["class_bias"][:] = h @ d.T, d.sum(1)
-    g["members"][:], g["member_bias"][:] = 0, 0
+    near = np.stack([flat[at + o] + k * (GAP + 1) for k, o in enumerate(OFFSETS)]).astype(np.int16)
+    rows = w["near"].reshape(-1, WIDTH)
+    h = rows.take(near[0], 0)
+    for x in near[1:]:
+        h += rows.take(x, 0)
+    np.tanh(h, out=h)
+    # a row a place; the last lane of 1 meets the biases
+    lanes = np.concatenate([h, np.ones((n, 1), np.float32)], 1)
+    members = np.concatenate([w["members"], w["member_bias"][:, None]], 1)
+    d = np.concatenate([w["classes"], w["class_bias"][None]]).T @ lanes.T
+    e = np.empty((n, MEMBERS), np.float32)
     for k, own in spans:
-        np.matmul(h[:, own], e[:, own].T, out=g["members"][k])
-        g["member_bias"][k] = e[:, own].sum(1)
-        dh[:, own] += w["members"][k] @ e[:, own]
+        np.dot(lanes[own], members[k], out=e[own])
+    d = _missed(d, target // MEMBERS)
+    e = np.ascontiguousarray(_missed(np.ascontiguousarray(e.T), target % MEMBERS).T)
+    missed = (d @ lanes).T
+    g["classes"][:], g["class_bias"][:] = missed[:WIDTH], missed[WIDTH]
+    missed, dh, back = np.zeros_like(members), np.empty((n, WIDTH), np.float32), np.ascontiguousarray(w["members"].transpose(0, 2, 1))
+    for k, own in spans:
+        np.dot(lanes[own].T, e[own], out=missed[k])
+        np.dot(e[own], back[k], out=dh[own])
+    g["members"][:], g["member_bias"][:] = missed[:, :WIDTH], missed[:, WIDTH]
+    dh += d.T @ w["classes"].T
     dh *= 1 - h * h
-    # the sum of a neighbour's gradients, by offset, word and lane
-    near = np.stack([(flat[at + o] + k * (GAP + 1)) * WIDTH for k, o in enumerate(OFFSETS)])
-    lanes = near[:, None, :] + np.arange(WIDTH)[:, None]
-    g["near"][:] = np.bincount(lanes.ravel(), np.broadcast_to(dh, lanes.shape).ravel(), g["near"].size).reshape(g["near"].shape)
     for name, x in g.items():
-        x /= n
-        sums[name] += x * x
-        w[name] -= RATE * x / (np.sqrt(sums[name]) + 1e-6)
+        if name != "near":
+            x /= n
+            sums[name] += x * x
+            w[name] -= RATE * x / (np.sqrt(sums[name]) + 1e-6)
+    # neighbours by offset and word: only those that occur have a gradient, and only these move
+    near = near.ravel()
+    order = np.argsort(near, kind="stable")
+    near = near[order]
+    first = np.flatnonzero(np.diff(near, prepend=-1))
+    touched = near[first]
+    x = np.add.reduceat(dh.take(order % n, 0), first, axis=0)
+    x /= n
+    g["near"][:] = 0
+    g["near"].reshape(-1, WIDTH)[touched] = x
+    squares = sums["near"].reshape(-1, WIDTH)
+    new = squares.take(touched, 0) + x * x
+    squares[touched] = new
+    rows[touched] = rows.take(touched, 0) - RATE * x / (np.sqrt(new) + 1e-6)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
