@@ -129,9 +129,10 @@ def test_ngram_join_moves_no_text_of_sets_far_apart(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "_verified", counted)
     rows = [[f"u{i}x{j}" for j in range(30)] + [f"s{i // 2}"] for i in range(40)]
-    rows += [rows[0][:30] + ["t"], sum(rows, []) + [f"f{i}" for i in range(6000)], sum(rows, []) + [f"g{i}" for i in range(6000)]]
+    common = [w for r in rows for w in r[:30]]
+    rows += [rows[0][:30] + ["t"]] + [common + [f"f{k}x{i}" for i in range(6000)] for k in range(4)]
     got = ngram_join.link_documents(texts(spark, [(i, " ".join(r)) for i, r in enumerate(rows)]), n=1).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(43)} | {40: 0}
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(45)} | {40: 0}
     assert sum(moved) == 1
 
 
