@@ -38,3 +38,29 @@ def test_search_order_copies_and_budget(spark):
     assert [r.item_id for r in H.history_search(items, queries, now, tokens=60).orderBy("rank").collect()] == ["b"]
     assert [r.item_id for r in H.history_search(items, queries, now, most=2).orderBy("rank").collect()] == ["b", "c"]
     assert H.history_search(items.limit(0), queries, now).count() == 0
+
+
+def test_only_what_can_be_shown_is_kept(spark, monkeypatch):
+    # 600 items hold the terms, most of them copies of a few beginnings
+    kinds = ["parser of config", "config\n of  parser", "the parser, a config", " parser of config", "a" * 700 + " parser config " + "b" * 700]
+    rows = [(f"i{i:03}", i % 9, ("you", "Claude", "tool result")[i % 3], day(i % 5), kinds[i % 5] + " x" * (i % 4) + (f" {i}" if i % 30 == 0 else "")) for i in range(600)]
+    items = spark.createDataFrame(rows, ITEM).coalesce(1)
+    queries = spark.createDataFrame([(1, "parser config"), (2, "config of nothing")], "query_id long, text string")
+    now, kept, write = F.lit(NOW).cast("timestamp_ntz"), {}, H.written
+    monkeypatch.setattr(H, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = [(r.query_id, r.item_id, r.score) for r in H.history_search(items, queries, now, tokens=100000).orderBy("query_id", "rank").collect()]
+    few = kept["best"].count()
+    kept.clear()
+    everything = [(r.query_id, r.item_id, r.score) for r in H.history_search(items, queries, now, tokens=100000, most=5000).orderBy("query_id", "rank").collect()]
+    assert got == [r for q in (1, 2) for r in [x for x in everything if x[0] == q][:10]] and len(got) == 20
+    assert few < kept["best"].count() == 1200
+
+
+def test_marks_of_equal_beginnings_are_equal(spark):
+    texts = ["a  b\n\nc" + "d " * 300, "a b c" + "d " * 300, "…a b c" + "d " * 300, " \t a" + " " * 500 + "b", "x" * 250 + " a  b" * 200, "x" * 250 + " a b" * 200, "a\u00a0b" * 70, ""]
+    rows = [(t, p) for t in texts for p in (0, 1, 199, 200, 201, 230, 251, 300, 700)]
+    keys = spark.createDataFrame(rows, "t string, p int").select("t", "p", F.substring(H.excerpt(F.col("t"), F.col("p")), 1, H.KEY_CHARS).alias("key")).collect()
+    marks = {}
+    for r in keys:
+        marks.setdefault(r.key, set()).add(H.excerpt_mark(r.t, r.p))
+    assert all(len(m) == 1 for m in marks.values()) and len(set.union(*marks.values())) > 8

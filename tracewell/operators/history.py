@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import squash, token_estimate
-from tracewell.operators.search import best_segments, bm25_rank, prompt_segments
+from tracewell.operators.search import bm25_rank, prompt_segments, wanted_counts
 from tracewell.operators.upkeep import days_since
 from tracewell.session import written
 
@@ -53,18 +56,34 @@ def excerpt(text: Column, pos: Column, chars: int = EXCERPT_CHARS) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + chars < F.length(text), "…").otherwise(""))
 
 
+def excerpt_mark(text: str, pos: int, chars: int = EXCERPT_CHARS) -> int:
+    """A number that excerpts with equal first ``KEY_CHARS`` characters share; others may share it, too.
+
+    No two blanks follow each other there, so at least half of these characters are none.
+    """
+    half, start = KEY_CHARS // 2, max(0, pos - round(chars / 3))
+    for most in (min(chars, KEY_CHARS), chars):
+        body = text[start : start + most]
+        for blank in " \n\t\r\x0b\f":
+            body = body.replace(blank, "")
+        if len(body) >= half:
+            break
+    return zlib.crc32((("…" if start else "") + body + ("…" if start + chars < len(text) else ""))[:half].encode())
+
+
 def history_search(items: DataFrame, queries: DataFrame, as_of: Column, tokens: int = SEARCH_TOKENS, most: int = RESULTS, chars: int = EXCERPT_CHARS, decision: str = DECISION) -> DataFrame:
     """(query_id, rank, item_id, session_id, score, line): what earlier sessions say about each query, best first.
 
     ``items``: item_id, session_id, who, ts, text (one row an id; null text matches nothing); ``queries``:
     query_id, text.  Of items whose excerpts begin alike the best one stays, ties to the smaller id; then the
-    first ``most`` as far as their lines fit ``tokens``.  Only keys of excerpts are compared; texts are joined
-    again for the few that are shown.
+    first ``most`` as far as their lines fit ``tokens``.  Each task keeps what can be among these, by marks of
+    the excerpts; only that meets the keys of excerpts, and texts are joined again for it.
     """
     weighed = items.select("item_id", "text", item_weight(as_of, decision=decision).alias("weight"))
-    ranked = bm25_rank(weighed, prompt_segments(queries, "query_id"), "item_id", "query_id", weight="weight")
-    best = best_segments(ranked, "item_id", "query_id").select("query_id", "item_id", F.round("score", 6).alias("score"), "pos")
-    best = written(best, "best")
+    segments = prompt_segments(queries, "query_id")
+    counts = wanted_counts(weighed, segments, "item_id", "query_id", weight="weight", mark=partial(excerpt_mark, chars=chars))
+    best = bm25_rank(weighed, segments, "item_id", "query_id", weight="weight", counts=counts, best=True, most=most, apart=True)
+    best = written(best.select("query_id", "item_id", F.round("score", 6).alias("score"), "pos"), "best")
     # queries share places of a text: each place's excerpt is made once, and a text read once for all its places
     spots = best.groupBy("item_id").agg(F.collect_set("pos").alias("spots")).join(items.select("item_id", "text"), "item_id")
     begins = lambda pos: F.struct(pos.alias("pos"), F.substring(excerpt(F.col("text"), pos, chars), 1, KEY_CHARS).alias("key"))
@@ -73,7 +92,7 @@ def history_search(items: DataFrame, queries: DataFrame, as_of: Column, tokens:
     first = F.min(F.struct((-F.col("score")).alias("minus"), "item_id", "pos")).alias("b")
     once = keyed.groupBy("query_id", "key").agg(first)
     place = W.partitionBy("query_id").orderBy("b.minus", "b.item_id")
-    top = once.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most)
+    top = written(once.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most), "top")
     shown = top.select("query_id", "rank", "b.item_id", (-F.col("b.minus")).alias("score"), "b.pos").join(items.select("item_id", "session_id", "who", "ts", "text"), "item_id")
     line = F.concat(F.lit("- "), ago(as_of, F.col("ts")), F.lit(" · "), F.coalesce("who", F.lit("?")), F.lit(": "), excerpt(F.col("text"), F.col("pos"), chars))
     shown = shown.withColumn("line", line)
