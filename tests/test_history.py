@@ -56,11 +56,14 @@ def test_only_what_can_be_shown_is_kept(spark, monkeypatch):
     assert few < kept["best"].count() == 1200
 
 
-def test_marks_of_equal_beginnings_are_equal(spark):
+def test_marks_of_equal_beginnings_are_equal(spark, monkeypatch):
     texts = ["a  b\n\nc" + "d " * 300, "a b c" + "d " * 300, "…a b c" + "d " * 300, " \t a" + " " * 500 + "b", "x" * 250 + " a  b" * 200, "x" * 250 + " a b" * 200, "a\u00a0b" * 70, ""]
     rows = [(t, p) for t in texts for p in (0, 1, 199, 200, 201, 230, 251, 300, 700)]
     keys = spark.createDataFrame(rows, "t string, p int").select("t", "p", F.substring(H.excerpt(F.col("t"), F.col("p")), 1, H.KEY_CHARS).alias("key")).collect()
     marks = {}
     for r in keys:
-        marks.setdefault(r.key, set()).add(H.excerpt_mark(r.t, r.p))
+        marks.setdefault(r.key, set()).add(H.excerpt_marks(r.t, [r.p])[0])
     assert all(len(m) == 1 for m in marks.values()) and len(set.union(*marks.values())) > 8
+    whole = [H.excerpt_marks(t, [p for s, p in rows if s == t]).tolist() for t in texts]
+    monkeypatch.setattr(H, "_LONG", 610)
+    assert [H.excerpt_marks(t, [p for s, p in rows if s == t]).tolist() for t in texts] == whole

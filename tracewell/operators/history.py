@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from functools import partial
+from functools import cache, partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ WHO_WEIGHT = {"you": 1.35, "Claude": 1.0, "tool result": 0.6}
 OTHER_WEIGHT, DECISION_WEIGHT, FRESH_WEIGHT, FRESH_DAYS, UNKNOWN_DAYS = 0.5, 1.25, 0.15, 7, 30
 DECISION = r"(?i)\b(decided|decision|we chose|chose to|going with|settled on|root cause|caused by|the fix|fixed by|because|workaround|must not|never|always|convention)\b"
 EXCERPT_CHARS, KEY_CHARS, RESULTS, SEARCH_TOKENS, HEADING_TOKENS = 600, 120, 10, 2500, 30
+_BASE, _LONG = 0x9E3779B97F4A7C15, 1 << 20
 
 
 def deep_union(live: DataFrame, archived: DataFrame, *foreign: DataFrame) -> DataFrame:
@@ -56,19 +57,34 @@ def excerpt(text: Column, pos: Column, chars: int = EXCERPT_CHARS) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + chars < F.length(text), "…").otherwise(""))
 
 
-def excerpt_mark(text: str, pos: int, chars: int = EXCERPT_CHARS) -> int:
-    """A number that excerpts with equal first ``KEY_CHARS`` characters share; others may share it, too.
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    power = lambda base: np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+    return power(_BASE), power(pow(_BASE, -1, 1 << 64))
 
-    No two blanks follow each other there, so at least half of these characters are none.
+
+def excerpt_marks(text: str, places: list, chars: int = EXCERPT_CHARS) -> np.ndarray:
+    """Numbers that excerpts with equal first ``KEY_CHARS`` characters share; others may share them, too.
+
+    No two blanks follow each other there, so at least half of these characters are none.  The first that are
+    none make the mark, as a polynomial whose sums are taken once for a text.
     """
-    half, start = KEY_CHARS // 2, max(0, pos - round(chars / 3))
-    for most in (min(chars, KEY_CHARS), chars):
-        body = text[start : start + most]
-        for blank in " \n\t\r\x0b\f":
-            body = body.replace(blank, "")
-        if len(body) >= half:
-            break
-    return zlib.crc32((("…" if start else "") + body + ("…" if start + chars < len(text) else ""))[:half].encode())
+    third = round(chars / 3)
+    start = np.maximum(0, np.asarray(places, np.int64) - third)
+    if len(text) > _LONG and len(places) > 0:  # each excerpt by itself, with a character on either side if there is one
+        return np.concatenate([excerpt_marks(text[max(0, s - 1) : s + chars + 1], [min(s, 1) * (third + 1)], chars) for s in start.tolist()])
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    solid = (code != 32) & ((code < 9) | (code > 13))
+    before = np.append(0, np.cumsum(solid))
+    power, back = _powers(1 << (KEY_CHARS + len(code)).bit_length())
+    sums = np.append(np.uint64(0), np.cumsum(code[solid] * power[: before[-1]]))
+    first, cut, open_ = before[np.minimum(start, len(code))], (start > 0).astype(np.int64), start + chars < len(code)
+    n = np.minimum(before[np.minimum(start + chars, len(code))] - first, KEY_CHARS // 2 - cut)
+    mark = (sums[first + n] - sums[first]) * back[first]
+    mark = np.where(cut, mark * power[1] + np.uint64(ord("…")), mark)
+    ends = open_ & (cut + n < KEY_CHARS // 2)
+    mark = mark + np.where(ends, power[cut + n] * np.uint64(ord("…")), np.uint64(0))
+    return (mark >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def history_search(items: DataFrame, queries: DataFrame, as_of: Column, tokens: int = SEARCH_TOKENS, most: int = RESULTS, chars: int = EXCERPT_CHARS, decision: str = DECISION) -> DataFrame:
@@ -81,7 +97,7 @@ def history_search(items: DataFrame, queries: DataFrame, as_of: Column, tokens:
     """
     weighed = items.select("item_id", "text", item_weight(as_of, decision=decision).alias("weight"))
     segments = prompt_segments(queries, "query_id")
-    counts = wanted_counts(weighed, segments, "item_id", "query_id", weight="weight", mark=partial(excerpt_mark, chars=chars))
+    counts = wanted_counts(weighed, segments, "item_id", "query_id", weight="weight", marks=partial(excerpt_marks, chars=chars))
     best = bm25_rank(weighed, segments, "item_id", "query_id", weight="weight", counts=counts, best=True, most=most, apart=True)
     best = written(best.select("query_id", "item_id", F.round("score", 6).alias("score"), "pos"), "best")
     # queries share places of a text: each place's excerpt is made once, and a text read once for all its places
